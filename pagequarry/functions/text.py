@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A token is a run of a-z0-9 with no letter, digit or underscore of any script beside it, so
@@ -35,25 +35,36 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def with_term_counts(df: DataFrame, token_column: str, out: str = "terms") -> DataFrame:
-    """Adds ``out``: one (term, frequency) struct per distinct token of the row.
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it. A plain
+    column could be copied into the inner lambdas by the optimizer and computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(token_array: Column) -> Column:
+    """One (term, frequency) struct per distinct token of the row.
 
     Sorting the row's tokens and reading off run lengths counts terms without leaving the row, so
     no posting is shuffled to be counted and a term found in every document is no hot key.
     """
-    ordered = df.withColumn("_ordered", F.sort_array(token_column))
-    starts = ordered.withColumn(
-        "_starts",
-        F.expr(
-            "filter(transform(_ordered, (t, i) -> IF(i = 0 OR t <> get(_ordered, i - 1), i, NULL)),"
-            " i -> i IS NOT NULL)"
-        ),
-    )
-    counted = starts.withColumn(
-        out,
-        F.expr(
-            "transform(_starts, (p, i) -> named_struct('term', get(_ordered, p), 'frequency',"
-            " CAST(coalesce(get(_starts, i + 1), size(_ordered)) - p AS BIGINT)))"
-        ),
+
+    def starts(ordered: Column) -> Column:
+        marked = F.transform(
+            ordered,
+            lambda token, i: F.when((i == 0) | (token != F.get(ordered, i - 1)), i),
+        )
+        return F.filter(marked, lambda i: i.isNotNull())
+
+    def runs(ordered: Column, begins: Column) -> Column:
+        def run(begin: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(begins, i + 1), F.size(ordered))
+            return F.struct(
+                F.get(ordered, begin).alias("term"), (end - begin).cast("long").alias("frequency")
+            )
+
+        return F.transform(begins, run)
+
+    return _bound(
+        F.sort_array(token_array),
+        lambda ordered: _bound(starts(ordered), lambda begins: runs(ordered, begins)),
     )
-    return counted.drop("_ordered", "_starts")

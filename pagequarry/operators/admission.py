@@ -27,7 +27,9 @@ def page_links(pages: DataFrame, keep: list[str], html: str = "html", url: str =
     hrefs = pages.select(
         *keep, base_parts(F.col(url)).alias("_base"), unescaped_hrefs(raw_hrefs(F.col(html))).alias("_hrefs")
     )
-    each = hrefs.select(*keep, "_base", F.posexplode("_hrefs").alias("pos", "_href"))
+    # The outer form: the plain one would test the array's size by a second search of the HTML.
+    each = hrefs.select(*keep, "_base", F.posexplode_outer("_hrefs").alias("pos", "_href"))
+    each = each.where(F.col("pos").isNotNull())
     return each.select(*keep, "pos", resolve(F.col("_base"), F.col("_href")).alias("link"))
 
 

@@ -10,8 +10,8 @@ from pagequarry.functions.text import (
     char_ngrams,
     content_hash,
     content_string,
+    term_counts,
     tokens,
-    with_term_counts,
 )
 from pagequarry.functions.urls import path_of, slug_of
 from pagequarry.operators.ordered import first_rows
@@ -59,20 +59,19 @@ def with_content(pages: DataFrame) -> DataFrame:
 
 def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Per text: ``doc_length`` (tokens with repeats), ``unique_terms`` and ``terms``."""
-    counted = with_term_counts(texts.select(key, tokens(F.col(text)).alias("_tokens")), "_tokens")
-    return counted.select(
-        key,
-        F.size("_tokens").cast("long").alias("doc_length"),
-        F.size("terms").cast("long").alias("unique_terms"),
-        "terms",
+    read = texts.select(key, tokens(F.col(text)).alias("_tokens"))
+    counted = read.select(
+        key, F.size("_tokens").cast("long").alias("doc_length"), term_counts(F.col("_tokens")).alias("terms")
     )
+    return counted.withColumn("unique_terms", F.size("terms").cast("long"))
 
 
 def postings(texts: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
     """``term, doc_id, frequency, doc_length``, without a shuffle."""
-    return token_counts(texts, key, text).select(
-        F.explode("terms").alias("_t"), key, "doc_length"
-    ).select("_t.term", key, "_t.frequency", "doc_length")
+    # explode would add a filter on the array's size, which the optimizer evaluates by counting
+    # all terms a second time below; explode_outer adds none.
+    each = token_counts(texts, key, text).select(F.explode_outer("terms").alias("_t"), key, "doc_length")
+    return each.where(F.col("_t").isNotNull()).select("_t.term", key, "_t.frequency", "doc_length")
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
