@@ -17,6 +17,7 @@ from pagequarry.functions.urls import path_of, slug_of
 from pagequarry.operators.ordered import first_rows
 from pagequarry.operators.registry import compiled_patterns, path_allowed, with_site_config
 from pagequarry.schemas import DOCUMENTS
+from pagequarry.session import pinned
 
 # Image fixes a registry row can name; each takes and gives a column.
 IMAGE_FIXES = {"last_https": last_https}
@@ -131,12 +132,25 @@ def with_new_ids(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return placed.withColumn("doc_id", number.cast("long")).drop("_bucket", "_before", "_highest")
 
 
+def acted_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pages that count of a batch, with content, hash, ``doc_id`` and ``action``.
+
+    ``pages`` need ``url, title, description, source, image, slug, fetch_seq``.
+    """
+    return with_actions(with_content(last_fetch(pages)), documents)
+
+
 def batch_changes(documents: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
     """One row per URL of the batch, as a document row with ``action`` and ``content``.
 
-    ``pages`` need ``url, title, description, source, image, slug, fetch_seq``.
+    The batch is pinned after its join with the stored documents, so that what follows does not
+    join, or parse pages, again.
     """
-    acted = with_actions(with_content(last_fetch(pages)), documents)
+    return changes_from(pinned(acted_pages(pages, documents)), documents, now)
+
+
+def changes_from(acted: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
+    """Document rows from :func:`acted_pages` that lie on storage."""
     fresh = with_new_ids(acted.where("action = 'new'").drop("doc_id"), documents)
     rows = acted.where("action <> 'new'").unionByName(fresh)
     return rows.select(

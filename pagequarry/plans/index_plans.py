@@ -6,21 +6,21 @@ fetched with a stale text; the rest are unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import content_hash, content_string, tokens
 from pagequarry.functions.urls import slug_of
 from pagequarry.operators import index_build, quality
-from pagequarry.operators.ordered import first_rows
 from pagequarry.plans.common import sql_ngrams, sql_tokens, table
 
+HOST = "https://docs.example/"
 NOW = "2024-02-01 00:00:00"
 BEFORE = "2024-01-01 00:00:00"
 
 
-def _page(documents, host, text):
-    url = F.concat(F.lit(host), F.col("doc_id").cast("string"))
+def _page(documents: DataFrame, host: Column, text: Column) -> DataFrame:
+    url = F.concat(host, F.col("doc_id").cast("string"))
     return documents.select(
         "doc_id",
         "lang",
@@ -34,7 +34,7 @@ def _page(documents, host, text):
 
 
 def stored_documents(spark, folder) -> DataFrame:
-    pages = _page(table(spark, folder, "documents"), "https://docs.example/", F.col("text"))
+    pages = _page(table(spark, folder, "documents"), F.lit(HOST), F.col("text"))
     content = content_string(F.col("title"), F.col("description"), F.col("slug"))
     return pages.select(
         (F.col("doc_id") + 1).alias("doc_id"),
@@ -59,13 +59,8 @@ def incoming_pages(spark, folder) -> DataFrame:
     documents = table(spark, folder, "documents")
     lang, text = F.col("lang"), F.col("text")
     changed = F.when(lang == "fr", F.concat(text, F.lit(" changed"))).otherwise(text)
-    host = F.when(lang == "de", F.lit("https://new.example/")).otherwise(F.lit("https://docs.example/"))
-    last = _page(documents.withColumn("_host", host), "", changed).drop("url", "slug")
-    url = F.concat(
-        F.when(lang == "de", F.lit("https://new.example/")).otherwise(F.lit("https://docs.example/")),
-        F.col("doc_id").cast("string"),
-    )
-    last = last.withColumn("url", url).withColumn("slug", slug_of(F.col("url"))).withColumn("fetch_seq", F.lit(2))
+    host = F.when(lang == "de", F.lit("https://new.example/")).otherwise(F.lit(HOST))
+    last = _page(documents, host, changed).withColumn("fetch_seq", F.lit(2))
     stale = last.where(lang == "es").withColumns(
         {"description": F.concat(F.lit("stale "), "description"), "fetch_seq": F.lit(1)}
     )
@@ -121,7 +116,7 @@ def new_ids(spark, folder):
 def _broken_store(spark, folder):
     """Stored documents with one URL per source, and postings of documents that are not stored."""
     documents = stored_documents(spark, folder).withColumn("url", F.concat(F.lit("https://one.example/"), "source"))
-    documents = documents.withColumn("novel_name", F.substring("description", 1, 400))
+    documents = documents.withColumn("novel_name", F.col("description"))
     kept = documents.where(~F.col("description").contains("eau"))
     return kept, stored_postings(spark, folder)
 
@@ -176,7 +171,7 @@ changes AS (SELECT *, coalesce(old_id, (SELECT max(doc_id) FROM st) + row_number
 _CHANGED_POSTINGS = f"""newp AS (SELECT term, doc_id, count(*) AS frequency FROM
   (SELECT unnest({sql_tokens('content')}) AS term, doc_id FROM changes WHERE action <> 'unchanged') GROUP BY ALL)"""
 _BROKEN = f"""{_STORED}, {_POSTED}, broken AS (SELECT doc_id, 'https://one.example/' || source AS url,
-  substr(description, 1, 400) AS novel_name, source FROM st WHERE NOT contains(description, 'eau'))"""
+  description AS novel_name, source FROM st WHERE NOT contains(description, 'eau'))"""
 _GRAMS = f"(SELECT DISTINCT ngram, term FROM (SELECT unnest({sql_ngrams('term')}) AS ngram, term FROM {{}}))"
 
 SQL = {

@@ -253,7 +253,7 @@ def recrawl_due(spark, folder):
 
 def submissions(spark, folder) -> DataFrame:
     """Payloads of all shapes made from the page URLs."""
-    url, kind = F.col("url"), F.col("page_id") % 9
+    url, kind = F.col("url"), F.length("html") % 9
     quoted = F.concat(F.lit('"'), url, F.lit('"'))
     raw = (
         F.when(kind == 0, url)
@@ -411,7 +411,7 @@ FROM (SELECT page_id AS task_seq, url, regexp_extract({_ORIGIN}, '//(.*)', 1) AS
   FROM pages WHERE {_ITEM})""",
     "recrawl_due": f"""WITH {_STORED} SELECT page_id, {_DUE} AS due
 FROM pages p LEFT JOIN stored s ON s.url = replace(p.url, 'http://', 'https://')""",
-    "submissions_decode": f"""WITH {_LAYERED}, s AS (SELECT page_id AS seq, page_id % 9 AS kind, url AS u FROM pages),
+    "submissions_decode": f"""WITH {_LAYERED}, s AS (SELECT page_id AS seq, length(html) % 9 AS kind, url AS u FROM pages),
 t AS (SELECT *, kind IN (1, 5, 6, 7, 8) AS is_task, CASE kind WHEN 0 THEN u WHEN 1 THEN u WHEN 2 THEN '"' || u || '"'
     WHEN 3 THEN '{{"link": "' || u || '"}}' WHEN 4 THEN '["' || u || '"]' WHEN 5 THEN NULL WHEN 6 THEN u
     WHEN 7 THEN 'https://unknown.test/' || seq ELSE u END AS url FROM s),
