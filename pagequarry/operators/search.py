@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import char_ngrams, tokens
 from pagequarry.operators.joins import is_small
+from pagequarry.session import pinned
 
 K1, B = 1.2, 0.75
 # Scores are compared after rounding, so the order in which a sum was taken cannot decide a tie.
@@ -55,10 +56,11 @@ def tfidf_part(weight: Column, n_docs: Column, avg_length: Column) -> Column:
 def scores(hits: DataFrame, stats: DataFrame, queries: DataFrame, part=bm25_part) -> DataFrame:
     """``query_id, doc_id, score`` for every document with a query term.
 
-    Only hits of query terms leave the scan; a document's parts lie in one map task, so they are
-    summed there before the shuffle on (query, document).
+    Hits of the query terms are pinned, as they are needed for the document frequencies and again
+    for the parts. A document's parts lie in one map task, so they are summed there before the
+    shuffle on (query, document).
     """
-    wanted = _term_hits(hits, queries)
+    wanted = pinned(_term_hits(hits, queries))
     frequencies = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = queries.select("query_id", "term").distinct().join(frequencies, "term")
     matched = wanted.join(F.broadcast(weighted) if is_small(queries) else weighted, "term")

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagequarry.session import balanced
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores also when it is one small file."""
+    return balanced(table(spark, folder, name))
+
+
 def sql_tokens(text: str) -> str:
     return (
         rf"list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'),"

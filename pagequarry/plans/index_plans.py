@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pagequarry.functions.text import content_hash, content_string, tokens
 from pagequarry.functions.urls import slug_of
 from pagequarry.operators import index_build, quality
-from pagequarry.plans.common import sql_ngrams, sql_tokens, table
+from pagequarry.session import pinned
+from pagequarry.plans.common import sql_ngrams, sql_tokens, table, texts
 
 HOST = "https://docs.example/"
 NOW = "2024-02-01 00:00:00"
@@ -34,7 +35,7 @@ def _page(documents: DataFrame, host: Column, text: Column) -> DataFrame:
 
 
 def stored_documents(spark, folder) -> DataFrame:
-    pages = _page(table(spark, folder, "documents"), F.lit(HOST), F.col("text"))
+    pages = _page(texts(spark, folder, "documents"), F.lit(HOST), F.col("text"))
     content = content_string(F.col("title"), F.col("description"), F.col("slug"))
     return pages.select(
         (F.col("doc_id") + 1).alias("doc_id"),
@@ -56,7 +57,7 @@ def stored_postings(spark, folder) -> DataFrame:
 
 
 def incoming_pages(spark, folder) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder, "documents")
     lang, text = F.col("lang"), F.col("text")
     changed = F.when(lang == "fr", F.concat(text, F.lit(" changed"))).otherwise(text)
     host = F.when(lang == "de", F.lit("https://new.example/")).otherwise(F.lit(HOST))
@@ -109,7 +110,7 @@ def upsert_ngrams(spark, folder):
 
 def new_ids(spark, folder):
     """Ids for all pages of ``pages`` above the highest document id."""
-    urls = table(spark, folder, "pages").groupBy("url").agg(F.max("page_id").alias("page_id"))
+    urls = texts(spark, folder, "pages").groupBy("url").agg(F.max("page_id").alias("page_id"))
     return index_build.with_new_ids(urls, stored_documents(spark, folder))
 
 
@@ -118,7 +119,7 @@ def _broken_store(spark, folder):
     documents = stored_documents(spark, folder).withColumn("url", F.concat(F.lit("https://one.example/"), "source"))
     documents = documents.withColumn("novel_name", F.col("description"))
     kept = documents.where(~F.col("description").contains("eau"))
-    return kept, stored_postings(spark, folder)
+    return kept, pinned(stored_postings(spark, folder))
 
 
 def quality_report(spark, folder):

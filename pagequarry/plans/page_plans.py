@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pagequarry.functions import html, urls
 from pagequarry.operators import admission, index_build
 from pagequarry.operators.tasks import fetched_ok
-from pagequarry.plans.common import table
+from pagequarry.plans.common import table, texts
 
 # Status of a stored page, by its size: some fetches failed.
 STATUS = "CASE length(html) % 5 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END"
 
 
 def _pages(spark, folder):
-    return table(spark, folder, "pages")
+    return texts(spark, folder, "pages")
 
 
 def _url(expression):

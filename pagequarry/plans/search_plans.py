@@ -14,6 +14,7 @@ from pagequarry.plans.common import (
     sql_ngrams,
     sql_tokens,
     table,
+    texts,
 )
 
 WORDS = ["the", "of", "tion", "wh", "eau"]
@@ -23,7 +24,7 @@ K = 10
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return texts(spark, folder, "documents")
 
 
 def _counts(spark, folder):
@@ -122,7 +123,7 @@ def hashed_contents(spark, folder):
 
 
 def page_hashes(spark, folder):
-    return table(spark, folder, "pages").select("page_id", content_hash(F.col("html")).alias("content_hash"))
+    return texts(spark, folder, "pages").select("page_id", content_hash(F.col("html")).alias("content_hash"))
 
 
 def term_ranks(spark, folder):

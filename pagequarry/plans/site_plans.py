@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions.urls import origin_of, path_of
 from pagequarry.operators import admission, index_build, registry as sites, robots, tasks
 from pagequarry.operators.registry import with_site_config
-from pagequarry.plans.common import table
+from pagequarry.plans.common import table, texts
 
 AGENT = "QuarryBot/1.0 (+https://quarry.example/)"
 NOW = "2024-02-01 00:00:00"
@@ -24,7 +24,7 @@ _ROBOTS_OURS = "\nUser-agent: Other\nUser-agent: Quarry\nCrawl-delay: 2\nDisallo
 
 
 def _pages(spark, folder):
-    return table(spark, folder, "pages")
+    return texts(spark, folder, "pages")
 
 
 def _hosts(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,13 +54,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so later branches see the same row placement.
+    """``df`` written once as a table in the shared folder, and read back.
 
-    Needed where a value depends on how a shuffle happened to place rows (range bounds are sampled).
-    The copy is on reliable storage, so losing executors does not recompute it.
+    Used where several later steps need an expensive result, or where a value depends on how a
+    shuffle placed the rows (range bounds are sampled). The table is on reliable storage, so losing
+    executors does not recompute it, and its size is known to the planner.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, spread over all of them. A table of
+    normal size has more splits and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
