@@ -90,7 +90,16 @@ def resolve(base: Column, ref: Column) -> Column:
 
     Root-relative links without dot segments, by far the most common, take one ``concat``.
     """
-    link = cleaned_reference(ref)
+    return resolve_cleaned(base, cleaned_reference(ref))
+
+
+def resolve_all(base: Column, refs: Column) -> Column:
+    """:func:`resolve` for an array of links: each is cleaned and resolved once, also if the results
+    are filtered later (a filter on a plain column would be pushed down together with a copy of it)."""
+    return F.transform(F.transform(refs, cleaned_reference), lambda link: resolve_cleaned(base, link))
+
+
+def resolve_cleaned(base: Column, link: Column) -> Column:
     scheme = F.lower(F.regexp_extract(link, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     # A link that names the page's own scheme but no host is still relative.
     same_scheme = (scheme != "") & (scheme == F.lower(base["scheme"]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.html import raw_hrefs, unescaped_hrefs
-from pagequarry.functions.urls import base_parts, path_of, resolve, url_hash
+from pagequarry.functions.urls import base_parts, path_of, resolve_all, url_hash
 from pagequarry.operators.registry import (
     blocked,
     compiled_patterns,
@@ -27,10 +27,10 @@ def page_links(pages: DataFrame, keep: list[str], html: str = "html", url: str =
     hrefs = pages.select(
         *keep, base_parts(F.col(url)).alias("_base"), unescaped_hrefs(raw_hrefs(F.col(html))).alias("_hrefs")
     )
+    links = hrefs.select(*keep, resolve_all(F.col("_base"), F.col("_hrefs")).alias("_links"))
     # The outer form: the plain one would test the array's size by a second search of the HTML.
-    each = hrefs.select(*keep, "_base", F.posexplode_outer("_hrefs").alias("pos", "_href"))
-    each = each.where(F.col("pos").isNotNull())
-    return each.select(*keep, "pos", resolve(F.col("_base"), F.col("_href")).alias("link"))
+    each = links.select(*keep, F.posexplode_outer("_links").alias("pos", "link"))
+    return each.where(F.col("pos").isNotNull())
 
 
 def recrawl_due(last_crawled: Column, now: Column, days: int = RECRAWL_DAYS) -> Column:

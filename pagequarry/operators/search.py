@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import char_ngrams, tokens
+from pagequarry.operators.index_build import token_counts
 from pagequarry.operators.joins import is_small
 from pagequarry.session import pinned
 
@@ -35,35 +36,45 @@ def query_terms(queries: DataFrame, key: str, text: str, first: int | None = Non
     return queries.select(key, F.explode(F.slice(terms, 1, first) if first else terms).alias("term"))
 
 
-def _term_hits(hits: DataFrame, terms: DataFrame) -> DataFrame:
+def _term_hits(hits: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """Hits of the query terms only. The terms are broadcast if measured small; else the semi-join
     shuffles, and AQE splits what a common term makes large."""
     wanted = terms.select("term").distinct()
-    return hits.join(F.broadcast(wanted) if is_small(wanted) else wanted, "term", "left_semi")
+    return hits.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
 
 
-def bm25_part(weight: Column, n_docs: Column, avg_length: Column) -> Column:
-    tf, df = F.col("frequency"), weight
-    idf = F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
-    norm = tf + K1 * (1 - B + B * F.col("doc_length") / avg_length)
-    return idf * tf * (K1 + 1) / norm
+def _saturation(avg_length: Column) -> Column:
+    """BM25's use of a term's frequency; below K1 + 1 whatever the document."""
+    tf = F.col("frequency")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_length") / avg_length))
 
 
-def tfidf_part(weight: Column, n_docs: Column, avg_length: Column) -> Column:
-    return F.col("frequency") * F.log(n_docs / weight)
+def _idf(df: Column, n_docs: Column) -> Column:
+    return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def scores(hits: DataFrame, stats: DataFrame, queries: DataFrame, part=bm25_part) -> DataFrame:
-    """``query_id, doc_id, score`` for every document with a query term.
+def bm25_part(df: Column, n_docs: Column, avg_length: Column) -> Column:
+    return _idf(df, n_docs) * _saturation(avg_length)
 
-    Hits of the query terms are pinned, as they are needed for the document frequencies and again
-    for the parts. A document's parts lie in one map task, so they are summed there before the
-    shuffle on (query, document).
+
+def tfidf_part(df: Column, n_docs: Column, avg_length: Column) -> Column:
+    return F.col("frequency") * F.log(n_docs / df)
+
+
+def scores(
+    hits: DataFrame, stats: DataFrame, queries: DataFrame, part=bm25_part, small: bool | None = None
+) -> DataFrame:
+    """``query_id, doc_id, score`` for every document with a query term. ``small`` says that the
+    queries may be broadcast; they are measured if it is not given.
+
+    The hits are read twice, for the document frequencies and for the parts. A document's parts lie
+    in one map task, so they are summed there before the shuffle on (query, document).
     """
-    wanted = pinned(_term_hits(hits, queries))
+    small = is_small(queries) if small is None else small
+    wanted = _term_hits(hits, queries, small)
     frequencies = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = queries.select("query_id", "term").distinct().join(frequencies, "term")
-    matched = wanted.join(F.broadcast(weighted) if is_small(queries) else weighted, "term")
+    matched = wanted.join(F.broadcast(weighted) if small else weighted, "term")
     # One row of statistics.
     scored = matched.crossJoin(F.broadcast(stats)).withColumn(
         "_part", part(F.col("_df"), F.col("n_docs"), F.col("avg_length"))
@@ -83,8 +94,71 @@ def top_k_per_query(scored: DataFrame, k: int) -> DataFrame:
 
 
 def batch_scores(hits: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Scores good for the best ``k`` per query."""
-    return scores(hits, stats, queries)
+    """BM25 scores of all documents that can be among the best ``k`` of a query; others may be left
+    out, so the best ``k`` are the same as with :func:`scores`.
+
+    A common word pairs its query with much of the corpus and decides little. The k-th best single
+    part of a query's terms bounds its k-th best score from below. Terms that even together stay
+    under that bound (each gives less than idf * (K1 + 1)) cannot lift a document into the result:
+    documents are found through the other terms, and only theirs are scored in full.
+    """
+    small = is_small(queries)
+    # One row of statistics.
+    wanted = pinned(
+        _term_hits(hits, queries, small)
+        .crossJoin(F.broadcast(stats))
+        .withColumn("_part", _saturation(F.col("avg_length")))
+        .select("term", "doc_id", "_part")
+    )
+    best = Window.partitionBy("term").orderBy(F.desc("_part"))
+    bounds = (
+        wanted.withColumn("_rn", F.row_number().over(best))
+        .where(F.col("_rn") <= k)
+        .groupBy("term")
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("_part")).alias("_kth"))
+    )
+    frequencies = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    terms = frequencies.join(bounds, "term").crossJoin(F.broadcast(stats))
+    weighted = queries.select("query_id", "term").distinct().join(terms, "term").select(
+        "query_id", "term", _idf(F.col("_df"), F.col("n_docs")).alias("_idf"), "_kth"
+    )
+    query = Window.partitionBy("query_id")
+    up_to = query.orderBy("_idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+    bound = F.max(F.col("_idf") * F.col("_kth")).over(query)
+    reach = F.sum(F.col("_idf") * (K1 + 1)).over(up_to)
+    # The margin covers scores being rounded before they are compared.
+    weighted = pinned(
+        weighted.withColumn("_finds", F.coalesce(reach + 4 * 10.0**-SCORE_DIGITS >= bound, F.lit(True)))
+    )
+
+    def side(finds: bool) -> DataFrame:
+        chosen = weighted.where(F.col("_finds") == finds).select("query_id", "term", "_idf")
+        return F.broadcast(chosen) if small else chosen
+
+    found = (
+        wanted.join(side(True), "term")
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum(F.col("_idf") * F.col("_part")).alias("_sum"))
+    )
+    # (term, doc_id) is unique among the hits: no hot key in this join.
+    rest = (
+        found.select("query_id", "doc_id")
+        .join(side(False), "query_id")
+        .join(wanted, ["term", "doc_id"])
+        .select("query_id", "doc_id", (F.col("_idf") * F.col("_part")).alias("_sum"))
+    )
+    return found.unionByName(rest).groupBy("query_id", "doc_id").agg(
+        F.round(F.sum("_sum"), SCORE_DIGITS).alias("score")
+    )
+
+
+def text_hits(texts: DataFrame, key: str, text: str, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(hits of the words, statistics) in one pass over the texts."""
+    counts = token_counts(texts, key, text)
+    kept = F.filter("terms", lambda t: t["term"].isin(words))
+    slim = pinned(counts.select(F.col(key).alias("doc_id"), "doc_length", kept.alias("terms")))
+    hits = slim.select("doc_id", "doc_length", F.explode("terms").alias("_t"))
+    return hits.select("_t.term", "doc_id", "_t.frequency", "doc_length"), corpus_stats(slim)
 
 
 def literal_query(hits: DataFrame, terms: list[str]) -> DataFrame:

@@ -77,10 +77,8 @@ def fuzzy_terms_topk(spark, folder):
 
 
 def _ranked(spark, folder, part):
-    counts = _counts(spark, folder)
-    hits = _hits(spark, folder)
-    query = search.literal_query(hits, WORDS)
-    scored = search.scores(hits, search.corpus_stats(counts), query, part)
+    hits, stats = search.text_hits(_documents(spark, folder), "doc_id", "text", WORDS)
+    scored = search.scores(hits, stats, search.literal_query(hits, WORDS), part, small=True)
     return search.top_k(scored, K).select("doc_id", "score")
 
 

@@ -13,6 +13,7 @@ from pagequarry.functions.urls import origin_of, path_of
 from pagequarry.operators import admission, index_build, registry as sites, robots, tasks
 from pagequarry.operators.registry import with_site_config
 from pagequarry.plans.common import table, texts
+from pagequarry.session import pinned
 
 AGENT = "QuarryBot/1.0 (+https://quarry.example/)"
 NOW = "2024-02-01 00:00:00"
@@ -28,13 +29,13 @@ def _pages(spark, folder):
 
 
 def _hosts(spark, folder):
-    return _pages(spark, folder).select(origin_of(F.col("url")).alias("origin")).distinct()
+    return table(spark, folder, "pages").select(origin_of(F.col("url")).alias("origin")).distinct()
 
 
 def host_registry(spark, folder) -> DataFrame:
-    """One site per scheme and host of the pages."""
+    """One site per scheme and host of the pages, stored like a registry would be."""
     one_way = F.length("origin") % 2 == 0
-    return _hosts(spark, folder).select(
+    sites_of_pages = _hosts(spark, folder).select(
         F.lit(2).alias("site_order"),
         F.concat("origin", F.lit("/")).alias("base_url"),
         F.lit("/start").alias("seed_url"),
@@ -54,6 +55,7 @@ def host_registry(spark, folder) -> DataFrame:
             F.lit("src").alias("image_attr"),
         ).alias("selectors"),
     )
+    return pinned(sites_of_pages)
 
 
 def layered_registry(spark, folder) -> DataFrame:
@@ -212,7 +214,7 @@ def _visited(spark, folder):
 def _admission_inputs(spark, folder):
     return (
         _links(spark, folder),
-        robots.agent_rules(robots_files(spark, folder), AGENT),
+        pinned(robots.agent_rules(robots_files(spark, folder), AGENT)),
         _visited(spark, folder),
         stored_documents(spark, folder),
         F.lit("2024-02-01").cast("date"),
