@@ -82,7 +82,7 @@ def without_dot_segments(path: Column) -> Column:
     ends_in_dots = F.element_at(pieces, -1).isin(".", "..")
     closed = F.when(ends_in_dots, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
     joined = F.array_join(closed, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve(base: Column, ref: Column) -> Column:
