@@ -58,7 +58,9 @@ def lookup_join(
     copies = lookup.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
         F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).cast("long"),
+            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+            .otherwise(F.array(F.lit(0)))
+            .cast("array<bigint>")
+        ),
     )
     return salted.drop("_hot").join(copies.drop("_hot"), [key, "_salt"], how).drop("_salt")
