@@ -18,6 +18,7 @@ from pagequarry.operators.registry import (
 from pagequarry.operators.robots import with_robots
 from pagequarry.operators.tasks import DISCOVERED_PRIORITY, FIELDS, with_task_fields
 from pagequarry.operators.visited import KEYS, newly_visited
+from pagequarry.session import pinned
 
 RECRAWL_DAYS = 3
 
@@ -79,6 +80,8 @@ def _rule_reasons(links: DataFrame, robots_rules: DataFrame) -> DataFrame:
 
 
 def _marked(links: DataFrame, visited: DataFrame | None, day: Column) -> DataFrame:
+    # Only today's part of the visited set is read.
+    today = visited if visited is None else visited.where(F.col("day") == day)
     return newly_visited(
         links.withColumns(
             {
@@ -87,7 +90,7 @@ def _marked(links: DataFrame, visited: DataFrame | None, day: Column) -> DataFra
                 "url_hash": url_hash(F.col("url")),
             }
         ),
-        visited,
+        today,
         ["task_seq", "pos"],
     )
 
@@ -104,9 +107,10 @@ def admitted(
     """(tasks, marks): discovered tasks, and the visited rows of this round.
 
     A link is marked visited before its recrawl test, so a page not yet due stays visited that day.
+    The marks are pinned: both results come from them, and pages are searched for links only once.
     """
     passing = _rule_reasons(links, robots_rules).where("reject_reason IS NULL")
-    marked = _marked(passing, visited, day)
+    marked = pinned(_marked(passing, visited, day))
     due = with_recrawl_due(marked, documents, now, days).where(~F.col("link_is_item") | F.col("due"))
     tasks = with_task_fields(due, F.col("config"), DISCOVERED_PRIORITY)
     return tasks.select(*FIELDS, "task_seq", "pos"), marked.select(*KEYS)
@@ -126,7 +130,7 @@ def admission_report(
     Winners are joined back on (task_seq, pos), unique per link, and not on the URL, of which one
     may hold a third of the links.
     """
-    ruled = _rule_reasons(links, robots_rules)
+    ruled = pinned(_rule_reasons(links, robots_rules))
     winners = _marked(ruled.where("reject_reason IS NULL"), visited, day)
     winners = with_recrawl_due(winners, documents, now, days).select(
         "task_seq", "pos", (~F.col("link_is_item") | F.col("due")).alias("_admit")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.operators.joins import lookup_join
 from pagequarry.operators.ordered import CHUNK_ROWS, chunk_of, global_rank, ranked
 
 PRIORITY_STEP = 1_000_000_000
@@ -54,7 +55,8 @@ def round_robin(
     frontier: DataFrame, rotation: int = 0, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Every task with ``rn`` and ``turn``; (rn, turn) is the fair order over sites."""
-    return site_order(frontier, chunk_rows).join(site_positions(frontier, rotation), "site")
+    ordered = site_order(frontier, chunk_rows)
+    return lookup_join(ordered, site_positions(frontier, rotation), "site", ["seq"], "inner")
 
 
 def next_batch(frontier: DataFrame, size: int, rotation: int = 0, per_site: int | None = None) -> DataFrame:

@@ -36,14 +36,26 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """``facts`` joined with a ``lookup`` of one row per ``key``.
+    """``facts`` joined with a table of sites, domains or the like.
 
-    A lookup measured as small is broadcast and the facts never move. A larger one is joined by a
-    shuffle in which the most frequent keys of the facts are split over ``salts`` tasks, chosen by a
-    hash of the ``spread`` columns, and only their lookup rows are copied once per salt.
+    A lookup measured as small is broadcast and the facts never move; a larger one takes
+    :func:`salted_join`.
     """
     if is_small(lookup, max_rows):
         return facts.join(F.broadcast(lookup), key, how)
+    return salted_join(facts, lookup, key, spread, how, salts)
+
+
+def salted_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    spread: list[str],
+    how: str = "inner",
+    salts: int = SALTS,
+) -> DataFrame:
+    """A shuffle join in which the most frequent keys of the facts are split over ``salts`` tasks,
+    chosen by a hash of the ``spread`` columns; only their lookup rows are copied once per salt."""
     hot = (
         facts.groupBy(key)
         .count()

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pagequarry.operators.joins import lookup_join
 from pagequarry.session import pinned
 
 CHUNK_ROWS = 1_000_000
@@ -106,7 +107,7 @@ def arrival_sequence(df: DataFrame, out: str = "seq") -> DataFrame:
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     return (
-        rows.join(starts, "_file")
+        lookup_join(rows, starts, "_file", ["_at"], "inner")
         .withColumn(out, (F.col("_before") + F.col("_at") + 1).cast("long"))
         .drop("_file", "_at", "_before")
     )

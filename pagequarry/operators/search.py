@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import char_ngrams, tokens
 from pagequarry.operators.index_build import token_counts
-from pagequarry.operators.joins import is_small
+from pagequarry.operators.joins import is_small, salted_join
 from pagequarry.session import pinned
 
 K1, B = 1.2, 0.75
@@ -36,11 +36,16 @@ def query_terms(queries: DataFrame, key: str, text: str, first: int | None = Non
     return queries.select(key, F.explode(F.slice(terms, 1, first) if first else terms).alias("term"))
 
 
+def _joined(facts: DataFrame, queries: DataFrame, key: str, small: bool, how: str = "inner") -> DataFrame:
+    """Query tables are broadcast if measured small, else common keys of the facts are salted."""
+    if small:
+        return facts.join(F.broadcast(queries), key, how)
+    return salted_join(facts, queries, key, ["doc_id"], how)
+
+
 def _term_hits(hits: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Hits of the query terms only. The terms are broadcast if measured small; else the semi-join
-    shuffles, and AQE splits what a common term makes large."""
-    wanted = terms.select("term").distinct()
-    return hits.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    """Hits of the query terms only."""
+    return _joined(hits, terms.select("term").distinct(), "term", small, "left_semi")
 
 
 def _saturation(avg_length: Column) -> Column:
@@ -74,7 +79,7 @@ def scores(
     wanted = _term_hits(hits, queries, small)
     frequencies = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = queries.select("query_id", "term").distinct().join(frequencies, "term")
-    matched = wanted.join(F.broadcast(weighted) if small else weighted, "term")
+    matched = _joined(wanted, weighted, "term", small)
     # One row of statistics.
     scored = matched.crossJoin(F.broadcast(stats)).withColumn(
         "_part", part(F.col("_df"), F.col("n_docs"), F.col("avg_length"))
@@ -93,7 +98,9 @@ def top_k_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def batch_scores(hits: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def batch_scores(
+    hits: DataFrame, stats: DataFrame, queries: DataFrame, k: int, small: bool | None = None
+) -> DataFrame:
     """BM25 scores of all documents that can be among the best ``k`` of a query; others may be left
     out, so the best ``k`` are the same as with :func:`scores`.
 
@@ -102,8 +109,9 @@ def batch_scores(hits: DataFrame, stats: DataFrame, queries: DataFrame, k: int)
     under that bound (each gives less than idf * (K1 + 1)) cannot lift a document into the result:
     documents are found through the other terms, and only theirs are scored in full.
     """
-    small = is_small(queries)
-    # One row of statistics.
+    small = is_small(queries) if small is None else small
+    # One row, but a whole pass over the texts to compute it.
+    stats = pinned(stats)
     wanted = pinned(
         _term_hits(hits, queries, small)
         .crossJoin(F.broadcast(stats))
@@ -132,18 +140,16 @@ def batch_scores(hits: DataFrame, stats: DataFrame, queries: DataFrame, k: int)
     )
 
     def side(finds: bool) -> DataFrame:
-        chosen = weighted.where(F.col("_finds") == finds).select("query_id", "term", "_idf")
-        return F.broadcast(chosen) if small else chosen
+        return weighted.where(F.col("_finds") == finds).select("query_id", "term", "_idf")
 
     found = (
-        wanted.join(side(True), "term")
+        _joined(wanted, side(True), "term", small)
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("_idf") * F.col("_part")).alias("_sum"))
     )
     # (term, doc_id) is unique among the hits: no hot key in this join.
     rest = (
-        found.select("query_id", "doc_id")
-        .join(side(False), "query_id")
+        _joined(found.select("query_id", "doc_id"), side(False), "query_id", small)
         .join(wanted, ["term", "doc_id"])
         .select("query_id", "doc_id", (F.col("_idf") * F.col("_part")).alias("_sum"))
     )
@@ -191,13 +197,17 @@ def similar_terms(
         "_grams", F.array_distinct(char_ngrams(F.col("query_term"), n))
     )
     each = query.select("query_term", F.size("_grams").alias("_n1"), F.explode("_grams").alias("ngram"))
+    sized = ngrams.withColumn("_n2", F.size(F.array_distinct(char_ngrams(F.col("term"), n))))
+    both = F.col("_n1") + F.col("_n2")
+    # Words of too different length cannot reach the threshold, whatever they share.
+    reachable = 2 * F.least("_n1", "_n2") >= (threshold - 10.0**-SCORE_DIGITS) * both
     shared = (
-        ngrams.join(F.broadcast(each) if is_small(each) else each, "ngram")
-        .groupBy("query_term", "_n1", "term")
+        sized.join(F.broadcast(each) if is_small(each) else each, "ngram")
+        .where(reachable)
+        .groupBy("query_term", "_n1", "_n2", "term")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    n2 = F.size(F.array_distinct(char_ngrams(F.col("term"), n)))
-    dice = shared.withColumn("dice", F.round(2 * F.col("shared") / (F.col("_n1") + n2), SCORE_DIGITS))
+    dice = shared.withColumn("dice", F.round(2 * F.col("shared") / both, SCORE_DIGITS))
     order = Window.partitionBy("query_term").orderBy(F.desc("dice"), "term")
     return (
         dice.where(F.col("dice") >= threshold)

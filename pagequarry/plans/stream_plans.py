@@ -127,7 +127,7 @@ def _indexed_store(spark, folder) -> IndexStore:
     writer = jobs.index_submissions(
         stream,
         site_plans.host_registry(spark, folder),
-        lambda session: table(session, folder, "pages").groupBy("url").agg(F.max("html").alias("html")),
+        jobs.fetch_from(table(spark, folder, "pages").groupBy("url").agg(F.max("html").alias("html"))),
         store,
         lambda number: F.lit(site_plans.NOW).cast("timestamp_ntz"),
     )

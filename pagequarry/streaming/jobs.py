@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagequarry.operators import frontier, index_build, tasks
+from pagequarry.operators.joins import is_small
 from pagequarry.operators.visited import KEYS
 from pagequarry.sources.store import IndexStore
 from pagequarry.streaming.runner import batch_folder, per_batch, write_batch
@@ -78,21 +79,37 @@ def reserve_slots(requests: DataFrame, slots_root: str, state_root: str) -> Data
     return per_batch(requests, reserve)
 
 
+def fetch_from(pages: DataFrame, pushed_urls: int = 1_000) -> Callable[[DataFrame], DataFrame]:
+    """Fetching as a lookup in a table of pages. The URLs of a small batch become a pushed-down
+    filter, so of pages sorted by URL only the row groups they can be in are read; a larger batch
+    is joined."""
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        found = pages.select("url", "html")
+        if is_small(wanted, pushed_urls):
+            found = found.where(F.col("url").isin([r["url"] for r in wanted.select("url").collect()]))
+        return found.join(wanted, "url")
+
+    return fetch
+
+
 def index_submissions(
     submissions: DataFrame,
     registry: DataFrame,
-    pages: Callable[[SparkSession], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame],
     store: IndexStore,
     now: Callable[[int], Column],
 ) -> DataStreamWriter:
-    """Submitted URLs (``seq``, ``raw``) to the index: decode, fetch from the table of pages, parse,
-    index. No links are taken. The micro-batch number is the index batch."""
+    """Submitted URLs (``seq``, ``raw``) to the index: decode, fetch, parse, index. No links are taken.
+
+    ``fetch`` gets a batch's ``url, site, fetch_seq`` and adds ``html``, for example
+    :func:`fetch_from` a table of pages. The micro-batch number is the index batch.
+    """
 
     def index(batch: DataFrame, number: int) -> None:
         decoded = tasks.decode_submissions(batch, registry).where("outcome = 'task'")
         wanted = decoded.groupBy("url", "site").agg(F.max("seq").alias("fetch_seq"))
-        fetched = pages(batch.sparkSession).select("url", "html").join(wanted, "url")
-        items = index_build.parsed_pages(index_build.item_pages(fetched, registry))
+        items = index_build.parsed_pages(index_build.item_pages(fetch(wanted), registry))
         store.apply(number, items, now(number))
 
     return per_batch(submissions, index)

@@ -150,4 +150,7 @@ def test_pruned_batch_search_equals_full(spark):
         pruned = search.top_k_per_query(search.batch_scores(hits, stats, terms, k), k)
         columns = ["query_id", "rank", "doc_id", "score"]
         assert _sorted(full.select(columns)) == _sorted(pruned.select(columns))
+    salted = search.top_k_per_query(search.batch_scores(hits, stats, terms, 5, small=False), 5)
+    plain = search.top_k_per_query(search.scores(hits, stats, terms, small=False), 5)
+    assert _sorted(salted.select(columns)) == _sorted(plain.select(columns))
     assert search.batch_scores(hits, stats, terms, 1).count() < search.scores(hits, stats, terms).count()

@@ -65,6 +65,8 @@ def test_large_lookup_is_salted_and_whole(spark):
         salted = joins.lookup_join(facts, lookup, "key", ["id"], how, max_rows=10, salts=7)
         plain = facts.join(lookup, "key", how)
         assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+    semi = joins.salted_join(facts, lookup.select("key"), "key", ["id"], "left_semi", salts=7)
+    assert semi.count() == facts.join(lookup, "key", "left_semi").count()
     assert joins.is_small(lookup) and not joins.is_small(lookup, max_rows=89) and not joins.is_small(lookup, max_bytes=99)
 
 
