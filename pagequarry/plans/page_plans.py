@@ -116,10 +116,18 @@ FROM (SELECT page_id, url, {_ORIGIN} AS o, {_PATH} AS p, regexp_replace({_PATH},
   FROM pages)"""
 
 # Text pieces between tags, entities decoded, blanks off, joined without separator.
-_ENTITIES = (
-    "replace(replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'),"
-    " '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
-)
+# The semicolon may be missing, as in a title that was cut.
+_ENTITIES = "{}"
+for _entity, _char in (
+    ("quot;?", '"'),
+    ("#39;?", "''"),
+    ("lt;?", "<"),
+    ("gt;?", ">"),
+    ("middot;?", "·"),
+    ("copy;?", "©"),
+    ("amp;?", "&"),
+):
+    _ENTITIES = f"regexp_replace({_ENTITIES}, '&{_entity}', '{_char}', 'g')"
 _TEXT = (
     "array_to_string(list_transform(regexp_split_to_array({}, '<[^>]*>'),"
     " lambda t: trim(" + _ENTITIES.format("t") + ", E' \\t\\n\\r')), '')"

@@ -407,8 +407,8 @@ WHERE reject_reason IS NULL OR reject_reason = 'not_due'""",
     "index_only_pages": rf"""SELECT task_seq, url, title, description, source, slug,
   sha256(title || ' ' || description || ' ' || slug) AS content_hash
 FROM (SELECT page_id AS task_seq, url, regexp_extract({_ORIGIN}, '//(.*)', 1) AS source,
-    trim(replace(replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&')) AS title,
-    trim(replace(replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;', '"'), '&amp;', '&')) AS description,
+    trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title,
+    trim(regexp_replace(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS description,
     regexp_replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '[-_]', ' ', 'g') AS slug
   FROM pages WHERE {_ITEM})""",
     "recrawl_due": f"""WITH {_STORED} SELECT page_id, {_DUE} AS due

@@ -175,8 +175,8 @@ QUERIES = {
 _INDEXED = f"""WITH {site_plans._REG}, s AS (SELECT DISTINCT url FROM pages WHERE length(html) % 9 IN (0, 1, 8)),
 p AS (SELECT url, max(html) AS html FROM pages GROUP BY url),
 f AS (SELECT url, regexp_extract({site_plans._ORIGIN}, '//(.*)', 1) AS source,
-    trim(replace(replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&')) AS novel_name,
-    trim(replace(replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;', '"'), '&amp;', '&')) AS description,
+    trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS novel_name,
+    trim(regexp_replace(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS description,
     regexp_replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '[-_]', ' ', 'g') AS slug
   FROM p JOIN s USING (url) WHERE {site_plans._ITEM}),
 d AS (SELECT *, novel_name || ' ' || description || ' ' || slug AS content FROM f)"""
