@@ -38,6 +38,10 @@ SEEN_OFTEN = 4
 MOST_FREQUENT = 65_536
 #: Prefix shingles one group of the shuffle holds on average.
 GROUP_SHINGLES = 1_000_000
+#: Places in a prefix are kept in two bytes; a later one counts as this, which only weakens a filter.
+LAST_PLACE = 65_535
+#: Prefix shingles kept while pairs are tested.
+HELD_SHINGLES = 300_000
 #: Bits of the filter that keeps sets without candidates out of the shuffle; its size is fixed.
 FILTER_BITS = 1 << 23
 
@@ -48,8 +52,10 @@ def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def prefix(found: np.ndarray, order: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix shingles of a set under an order, whether each is frequent). ``frequent`` is sorted by
-    rising frequency."""
+    """(prefix of a set under an order, in that order; whether each shingle is frequent).
+
+    ``frequent`` has the frequent shingles, sorted, and the rank of each by rising frequency.
+    """
     rank = np.full(len(found), -1, np.int64)
     if len(frequent[0]):
         at = np.minimum(np.searchsorted(frequent[0], found), len(frequent[0]) - 1)
@@ -59,11 +65,12 @@ def prefix(found: np.ndarray, order: int, frequent: np.ndarray) -> tuple[np.ndar
     key = scrambled(found, 10 + order)
     light = np.flatnonzero(rank < 0)
     if len(light) >= take:
-        chosen = light[np.argpartition(key[light], take - 1)[:take]]
+        light = light[np.argpartition(key[light], take - 1)[:take]]
+        chosen = light[np.argsort(key[light])]
     else:
         heavy = np.flatnonzero(rank >= 0)
         heavy = heavy[np.argsort(rank[heavy])[: take - len(light)]]
-        chosen = np.concatenate([light, heavy])
+        chosen = np.concatenate([light[np.argsort(key[light])], heavy])
     return found[chosen], rank[chosen] >= 0
 
 
@@ -118,8 +125,8 @@ def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
-    """(shingle, key, first, last): prefix shingles under the first order of the classes that share
-    them with another class. ``first`` and ``last`` are the ends of the list of a shingle that is not
+    """(shingle, key, place, first, last): prefix shingles under the first order of the classes that
+    share them with another class. ``place`` counts from 0 in the prefix; ``first`` and ``last`` are the ends of the list of a shingle that is not
     among the frequent ones; for the frequent ones they are null and the entry may stand alone.
 
     Entries travel as packed arrays, one row per task and group; a frequent shingle is spread over the
@@ -129,7 +136,7 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = set()
-            shingles, keys, heavy = [], [], []
+            shingles, keys, places, heavy = [], [], [], []
             for _, found in shingle_sets(*utf8(batch.column("text"))):
                 key = set_key(found)
                 if key in done:
@@ -139,13 +146,14 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
                 shingles.append(own)
                 heavy.append(often)
                 keys.append(np.full(len(own), key, np.int64))
+                places.append(np.minimum(np.arange(len(own)), LAST_PLACE).astype(np.uint16))
             if not shingles:
                 continue
-            shingle, key, often = map(np.concatenate, (shingles, keys, heavy))
-            place = np.where(often, scrambled(key.view(np.uint64), 3), scrambled(shingle, 4))
-            group = (place % np.uint64(groups)).astype(np.int64) * 2 + often
+            shingle, key, place, often = map(np.concatenate, (shingles, keys, places, heavy))
+            spread = np.where(often, scrambled(key.view(np.uint64), 3), scrambled(shingle, 4))
+            group = (spread % np.uint64(groups)).astype(np.int64) * 2 + often
             order = np.argsort(group, kind="stable")
-            group, shingle, key = group[order], shingle[order], key[order]
+            group, shingle, key, place = group[order], shingle[order], key[order], place[order]
             edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             stop = np.append(edge[1:], len(group))
             yield pa.RecordBatch.from_pydict(
@@ -154,41 +162,45 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
                     "often": group[edge] % 2 == 1,
                     "shingles": [shingle[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
                     "keys": [key[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
+                    "places": [place[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
                 }
             )
 
     def lists(table: pa.Table) -> pa.Table:
-        def unpacked(often: bool) -> tuple[np.ndarray, np.ndarray]:
+        def unpacked(often: bool) -> tuple[np.ndarray, ...]:
             part = table.filter(pa.array(table.column("often").to_numpy() == often))
             return tuple(
                 np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
-                for c, kind in (("shingles", np.uint64), ("keys", np.int64))
+                for c, kind in (("shingles", np.uint64), ("keys", np.int64), ("places", np.uint16))
             )
 
-        shingle, key = unpacked(False)
+        shingle, key, place = unpacked(False)
         order = np.lexsort((key, shingle))
-        shingle, key = shingle[order], key[order]
+        shingle, key, place = shingle[order], key[order], place[order]
         if len(shingle):
             fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-            shingle, key = shingle[fresh], key[fresh]
+            shingle, key, place = shingle[fresh], key[fresh], place[fresh]
         edge = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else order
         size = np.diff(np.append(edge, len(shingle)))
         several = np.repeat(size > 1, size)
         first, last = np.repeat(key[edge], size), np.repeat(key[edge + size - 1], size)
-        heavy, heavy_key = unpacked(True)
-        both = np.unique(np.stack([heavy.view(np.int64), heavy_key]), axis=1)
-        none = pa.nulls(both.shape[1], pa.int64())
+        heavy, heavy_key, heavy_place = unpacked(True)
+        _, once = np.unique(np.stack([heavy.view(np.int64), heavy_key]), axis=1, return_index=True)
+        none = pa.nulls(len(once), pa.int64())
         return pa.table(
             {
-                "shingle": np.concatenate([shingle[several].view(np.int64), both[0]]),
-                "key": np.concatenate([key[several], both[1]]),
+                "shingle": np.concatenate([shingle[several], heavy[once]]).view(np.int64),
+                "key": np.concatenate([key[several], heavy_key[once]]),
+                "place": np.concatenate([place[several], heavy_place[once]]).astype(np.int32),
                 "first": pa.concat_arrays([pa.array(first[several]), none]),
                 "last": pa.concat_arrays([pa.array(last[several]), none]),
             }
         )
 
-    packed = texts.mapInArrow(pack, "group long, often boolean, shingles binary, keys binary")
-    return packed.groupBy("group").applyInArrow(lists, "shingle long, key long, first long, last long")
+    packed = texts.mapInArrow(pack, "group long, often boolean, shingles binary, keys binary, places binary")
+    return packed.groupBy("group").applyInArrow(
+        lists, "shingle long, key long, place int, first long, last long"
+    )
 
 
 def candidate_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -222,24 +234,31 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             left, right = batch.column("left"), batch.column("right")
-            prefixes: dict[tuple[bytes, int], np.ndarray] = {}
-
-            def shares(x: bytes, y: bytes, order: int) -> bool:
-                if len(prefixes) > 256:
-                    prefixes.clear()
-                for z in (x, y):
-                    if (z, order) not in prefixes:
-                        prefixes[z, order] = prefix(np.frombuffer(z, np.uint64), order, frequent)[0]
-                return bool(np.isin(prefixes[x, order], prefixes[y, order], assume_unique=True).any())
-
-            for row in range(batch.num_rows):
-                x, y = left[row].as_py(), right[row].as_py()
-                small, large = sorted((len(x) // 8, len(y) // 8))
+            firsts, seconds = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            prefixes: dict[int, list[frozenset]] = {}
+            held = 0
+
+            def filters(key: int, found: np.ndarray) -> list[frozenset]:
+                nonlocal held
+                if key not in prefixes:
+                    if held > HELD_SHINGLES:
+                        prefixes.clear()
+                        held = 0
+                    made = [prefix(found, k, frequent)[0].tolist() for k in range(1, ORDERS)]
+                    held += sum(map(len, made))
+                    prefixes[key] = [frozenset(p) for p in made]
+                return prefixes[key]
+
+            for row in sorted(range(batch.num_rows), key=firsts.__getitem__):
+                x = np.frombuffer(left[row].as_buffer(), np.uint64)
+                y = np.frombuffer(right[row].as_buffer(), np.uint64)
+                small, large = sorted((len(x), len(y)))
                 if 100 * small < PERCENT * large:
                     continue
-                if not all(shares(x, y, order) for order in range(1, ORDERS)):
+                of_x, of_y = filters(firsts[row], x), filters(seconds[row], y)
+                if any(p.isdisjoint(q) for p, q in zip(of_x, of_y, strict=True)):
                     continue
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep[row] = 100 * common >= PERCENT * (small + large - common)
@@ -278,7 +297,7 @@ def linked(entries: DataFrame, classes: DataFrame, sets: DataFrame, frequent) ->
         label = pinned(components(links))
     # What is left: lists whose classes are still in several components, pair by pair.
     marked = (
-        entries.select("shingle", "key")
+        entries.select("shingle", "key", "place")
         .join(label.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("component", F.coalesce("component", "key"))
     )
@@ -291,11 +310,18 @@ def linked(entries: DataFrame, classes: DataFrame, sets: DataFrame, frequent) ->
     rest = pinned(
         marked.join(split, "shingle").join(classes.select("key", "n"), "key")
     )
+    # The first common shingle of a link stands early in both: what follows it must hold the
+    # intersection, ceil(PERCENT / (100 + PERCENT) * (n + n)) shingles.
     x, y = rest.alias("x"), rest.alias("y")
     pairs = (
-        x.join(y, "shingle")
-        .where("x.key < y.key and x.component <> y.component")
-        .where(F.expr(f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"))
+        x.join(
+            y,
+            F.expr(
+                f"""x.shingle = y.shingle AND x.key < y.key AND x.component <> y.component
+                AND {100 + PERCENT} * least(x.n - x.place, y.n - y.place) >= {PERCENT} * (x.n + y.n)
+                AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"""
+            ),
+        )
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
