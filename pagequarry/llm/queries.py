@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm import (
     decontamination,
+    embedding_dedup,
+    html_extraction,
     language_id,
     mixing,
     pii,
@@ -38,6 +40,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.dedupe(table(spark, folder, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
@@ -54,13 +60,19 @@ def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.groups(table(spark, folder, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_shingle_join": op8_shingle_join,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 OP2_SQL = """
