@@ -10,10 +10,12 @@ from pagequarry.llm import (
     embedding_dedup,
     html_extraction,
     language_id,
+    license_scan,
     mixing,
     pii,
     shingle_join,
     token_counts,
+    toxicity,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +36,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.severity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -60,6 +66,10 @@ def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.groups(table(spark, folder, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(table(spark, folder, "pages"))
 
@@ -67,11 +77,13 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_shingle_join": op8_shingle_join,
+    "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
 }
 
