@@ -60,8 +60,8 @@ NOISE = frozenset(
 CONTENT = frozenset("article main content post entry story text body".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
-    r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<cut>/?[A-Za-z][^<>]*)\Z|"
-    r"[^<]+|<",
+    r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/<>]*+)(?P<rest>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<(?P<cut>/?[A-Za-z][^<>]*+)\Z|"
+    r"[^<]+|<",  # no part can look past the next <, so a page is read in linear time
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

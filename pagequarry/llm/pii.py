@@ -51,6 +51,8 @@ CUES = r"(?i)(?:mail|call|tel|phone|fax|mobile|card|visa|iban|contact|write|host
 SIZES = (4, 6, 3, 2, 4, 2, 2, 2, 5, 4)
 FEATURE_VECTORS = math.prod(SIZES)
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
+#: Shrinks leaves with few examples, so that one odd example decides nothing.
+SHRINK = 20.0
 #: Matches added up at once; lists are joined per block, so no list grows match by match.
 BLOCK = 256
 
@@ -235,7 +237,7 @@ def decoded(code: int) -> list[int]:
 def best_split(rows: list, default: float) -> tuple:
     """(gain, feature, border, value below, value above) for rows (values, gradient, curvature)."""
     total_g, total_h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    leaf = RATE * total_g / (total_h + 1) if rows else default
+    leaf = RATE * total_g / (total_h + SHRINK) if rows else default
     best = (0.0, 0, SIZES[0], leaf, leaf)
     for f, size in enumerate(SIZES):
         g, h = [0.0] * size, [0.0] * size
@@ -246,9 +248,9 @@ def best_split(rows: list, default: float) -> tuple:
         for border in range(size - 1):
             low_g, low_h = low_g + g[border], low_h + h[border]
             high_g, high_h = total_g - low_g, total_h - low_h
-            gain = low_g**2 / (low_h + 1) + high_g**2 / (high_h + 1) - total_g**2 / (total_h + 1)
+            gain = low_g**2 / (low_h + SHRINK) + high_g**2 / (high_h + SHRINK) - total_g**2 / (total_h + SHRINK)
             if gain > best[0] + 1e-9:
-                best = (gain, f, border, RATE * low_g / (low_h + 1), RATE * high_g / (high_h + 1))
+                best = (gain, f, border, RATE * low_g / (low_h + SHRINK), RATE * high_g / (high_h + SHRINK))
     return best
 
 
