@@ -42,6 +42,8 @@ GROUP_SHINGLES = 1_000_000
 LAST_PLACE = 65_535
 #: Prefix shingles kept while pairs are tested.
 HELD_SHINGLES = 300_000
+#: Lists up to this long are searched pair by pair for entries that can link with no other.
+LONG_LIST = 32
 #: Bits of the filter that keeps sets without candidates out of the shuffle; its size is fixed.
 FILTER_BITS = 1 << 23
 
@@ -124,10 +126,42 @@ def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order], (len(shingle) - 1 - np.arange(len(shingle)))[order]
 
 
+def can_link(n_x, place_x, n_y, place_y):
+    """Whether sets of these sizes can link when their first common shingle has these places: neither is
+    too long for the other, and what follows holds the intersection a link needs, (100 + PERCENT) *
+    intersection >= PERCENT * (n + n)."""
+    sizes = 100 * np.minimum(n_x, n_y) >= PERCENT * np.maximum(n_x, n_y)
+    rest = np.minimum(n_x - place_x, n_y - place_y)
+    return sizes & ((100 + PERCENT) * rest >= PERCENT * (n_x + n_y))
+
+
+#: The same in SQL, for two sides x and y.
+CAN_LINK = f"""100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
+    AND {100 + PERCENT} * least(x.n - x.place, y.n - y.place) >= {PERCENT} * (x.n + y.n)"""
+
+
+def alive(shingle: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by shingle, can link with another one of their list. Lists of more than
+    ``LONG_LIST`` entries are kept as they are."""
+    out = np.zeros(len(shingle), bool)
+    for step in range(1, LONG_LIST + 1):
+        same = np.flatnonzero(shingle[step:] == shingle[:-step]) if step < len(shingle) else []
+        if not len(same):
+            break
+        other = same + step
+        if step == LONG_LIST:
+            out |= np.isin(shingle, shingle[same])
+            break
+        fine = can_link(n[same], place[same], n[other], place[other])
+        out[same[fine]] = out[other[fine]] = True
+    return out
+
+
 def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
-    """(shingle, key, place, first, last): prefix shingles under the first order of the classes that
-    share them with another class. ``place`` counts from 0 in the prefix; ``first`` and ``last`` are the ends of the list of a shingle that is not
-    among the frequent ones; for the frequent ones they are null and the entry may stand alone.
+    """(shingle, key, n, place, first, last): prefix shingles under the first order of the classes that
+    share them with a class they can link with. ``place`` counts from 0 in the prefix; ``first`` and ``last`` are the ends of the list of a shingle that is not
+    among the frequent ones (the entry's own key where it cannot link with that end); for the frequent
+    ones they are null and the entry may stand alone.
 
     Entries travel as packed arrays, one row per task and group; a frequent shingle is spread over the
     groups by class, so no group holds a whole long list.
@@ -136,7 +170,7 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = set()
-            shingles, keys, places, heavy = [], [], [], []
+            shingles, keys, sizes, places, heavy = [], [], [], [], []
             for _, found in shingle_sets(*utf8(batch.column("text"))):
                 key = set_key(found)
                 if key in done:
@@ -146,14 +180,18 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
                 shingles.append(own)
                 heavy.append(often)
                 keys.append(np.full(len(own), key, np.int64))
+                sizes.append(np.full(len(own), len(found), np.uint32))
                 places.append(np.minimum(np.arange(len(own)), LAST_PLACE).astype(np.uint16))
             if not shingles:
                 continue
-            shingle, key, place, often = map(np.concatenate, (shingles, keys, places, heavy))
+            shingle, key, n, place, often = map(
+                np.concatenate, (shingles, keys, sizes, places, heavy)
+            )
             spread = np.where(often, scrambled(key.view(np.uint64), 3), scrambled(shingle, 4))
             group = (spread % np.uint64(groups)).astype(np.int64) * 2 + often
             order = np.argsort(group, kind="stable")
-            group, shingle, key, place = group[order], shingle[order], key[order], place[order]
+            group, shingle, key = group[order], shingle[order], key[order]
+            n, place = n[order], place[order]
             edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             stop = np.append(edge[1:], len(group))
             yield pa.RecordBatch.from_pydict(
@@ -162,6 +200,7 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
                     "often": group[edge] % 2 == 1,
                     "shingles": [shingle[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
                     "keys": [key[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
+                    "sizes": [n[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
                     "places": [place[a:b].tobytes() for a, b in zip(edge, stop, strict=True)],
                 }
             )
@@ -171,35 +210,46 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
             part = table.filter(pa.array(table.column("often").to_numpy() == often))
             return tuple(
                 np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
-                for c, kind in (("shingles", np.uint64), ("keys", np.int64), ("places", np.uint16))
+                for c, kind in (
+                    ("shingles", np.uint64),
+                    ("keys", np.int64),
+                    ("sizes", np.uint32),
+                    ("places", np.uint16),
+                )
             )
 
-        shingle, key, place = unpacked(False)
+        shingle, key, n, place = unpacked(False)
         order = np.lexsort((key, shingle))
-        shingle, key, place = shingle[order], key[order], place[order]
+        shingle, key = shingle[order], key[order]
+        n, place = n[order].astype(np.int64), place[order].astype(np.int64)
         if len(shingle):
             fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-            shingle, key, place = shingle[fresh], key[fresh], place[fresh]
-        edge = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else order
+            shingle, key, n, place = shingle[fresh], key[fresh], n[fresh], place[fresh]
+            keep = alive(shingle, n, place)
+            shingle, key, n, place = shingle[keep], key[keep], n[keep], place[keep]
+        edge = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else order[:0]
         size = np.diff(np.append(edge, len(shingle)))
-        several = np.repeat(size > 1, size)
-        first, last = np.repeat(key[edge], size), np.repeat(key[edge + size - 1], size)
-        heavy, heavy_key, heavy_place = unpacked(True)
+        ends = []
+        for end in (edge, edge + size - 1):
+            far = np.repeat(end, size)
+            ends.append(np.where(can_link(n, place, n[far], place[far]), key[far], key))
+        heavy, heavy_key, heavy_n, heavy_place = unpacked(True)
         _, once = np.unique(np.stack([heavy.view(np.int64), heavy_key]), axis=1, return_index=True)
         none = pa.nulls(len(once), pa.int64())
         return pa.table(
             {
-                "shingle": np.concatenate([shingle[several], heavy[once]]).view(np.int64),
-                "key": np.concatenate([key[several], heavy_key[once]]),
-                "place": np.concatenate([place[several], heavy_place[once]]).astype(np.int32),
-                "first": pa.concat_arrays([pa.array(first[several]), none]),
-                "last": pa.concat_arrays([pa.array(last[several]), none]),
+                "shingle": np.concatenate([shingle, heavy[once]]).view(np.int64),
+                "key": np.concatenate([key, heavy_key[once]]),
+                "n": np.concatenate([n, heavy_n[once]]).astype(np.int64),
+                "place": np.concatenate([place, heavy_place[once]]).astype(np.int64),
+                "first": pa.concat_arrays([pa.array(ends[0], pa.int64()), none]),
+                "last": pa.concat_arrays([pa.array(ends[1], pa.int64()), none]),
             }
         )
 
-    packed = texts.mapInArrow(pack, "group long, often boolean, shingles binary, keys binary, places binary")
+    packed = texts.mapInArrow(pack, "group long, often boolean, shingles binary, keys binary, sizes binary, places binary")
     return packed.groupBy("group").applyInArrow(
-        lists, "shingle long, key long, place int, first long, last long"
+        lists, "shingle long, key long, n long, place long, first long, last long"
     )
 
 
@@ -270,22 +320,27 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
 
 
-def linked(entries: DataFrame, classes: DataFrame, sets: DataFrame, frequent) -> DataFrame:
+def linked(entries: DataFrame, sets: DataFrame, frequent) -> DataFrame:
     """(node, component) over classes; a class without links is missing."""
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     ends = (
         entries.where("first is null")
         .groupBy("shingle")
-        .agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        .where("low < high")
+        .agg(
+            F.min(F.struct("key", "n", "place")).alias("low"),
+            F.max(F.struct("key", "n", "place")).alias("high"),
+        )
+        .where("low.key < high.key")
     )
     tested, links, label = None, None, None
     for end, far in (("first", "low"), ("last", "high")):
         light = entries.where("first is not null").select(F.col("key").alias("x"), F.col(end).alias("y"))
         heavy = (
             entries.where("first is null")
-            .join(ends, "shingle")
-            .select(F.col("key").alias("x"), F.col(far).alias("y"))
+            .join(ends.select("shingle", F.col(far).alias("y")), "shingle")
+            .select(F.struct("key", "n", "place").alias("x"), "y")
+            .where(CAN_LINK)
+            .select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
         )
         pairs = light.union(heavy).where("x <> y").select(*ordered).distinct()
         if label is not None:
@@ -297,7 +352,7 @@ def linked(entries: DataFrame, classes: DataFrame, sets: DataFrame, frequent) ->
         label = pinned(components(links))
     # What is left: lists whose classes are still in several components, pair by pair.
     marked = (
-        entries.select("shingle", "key", "place")
+        entries.select("shingle", "key", "n", "place")
         .join(label.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("component", F.coalesce("component", "key"))
     )
@@ -307,19 +362,14 @@ def linked(entries: DataFrame, classes: DataFrame, sets: DataFrame, frequent) ->
         .where("low < high")
         .select("shingle")
     )
-    rest = pinned(
-        marked.join(split, "shingle").join(classes.select("key", "n"), "key")
-    )
-    # The first common shingle of a link stands early in both: what follows it must hold the
-    # intersection, ceil(PERCENT / (100 + PERCENT) * (n + n)) shingles.
+    rest = pinned(marked.join(split, "shingle"))
+    # The first common shingle of a link meets the condition; a later one need not.
     x, y = rest.alias("x"), rest.alias("y")
     pairs = (
         x.join(
             y,
             F.expr(
-                f"""x.shingle = y.shingle AND x.key < y.key AND x.component <> y.component
-                AND {100 + PERCENT} * least(x.n - x.place, y.n - y.place) >= {PERCENT} * (x.n + y.n)
-                AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"""
+                "x.shingle = y.shingle AND x.key < y.key AND x.component <> y.component AND " + CAN_LINK
             ),
         )
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
@@ -363,7 +413,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     texts = d.select("text").where("text is not null")
     entries = pinned(prefix_entries(texts, frequent, size))
     sets = pinned(candidate_sets(texts, entries.select("key").distinct()))
-    label = linked(entries, classes, sets, frequent)
+    label = linked(entries, sets, frequent)
     # The smallest document of a component: minimum over its classes.
     member = classes.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
