@@ -32,10 +32,10 @@ PERCENT = 75
 #: Orders of the shingles used as filters.
 ORDERS = 3
 #: A shingle is reported as possibly frequent by a task that sees it in so many sets.
-SEEN_OFTEN = 4
-#: Most shingles whose frequency the orders use (8 bytes each in every worker). Any order gives the
+SEEN_OFTEN = 2
+#: Most shingles whose frequency the orders use (16 bytes each in every worker). Any order gives the
 #: right result; frequencies only keep the lists short.
-MOST_FREQUENT = 65_536
+MOST_FREQUENT = 262_144
 #: Prefix shingles one group of the shuffle holds on average.
 GROUP_SHINGLES = 1_000_000
 #: Places in a prefix are kept in two bytes; a later one counts as this, which only weakens a filter.
