@@ -46,9 +46,10 @@ def site_positions(frontier: DataFrame, rotation: int = 0) -> DataFrame:
 
 
 def site_order(frontier: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``rn``: each task's place in its site's queue, lowest score first."""
+    """``rn``: each task's place in its site's queue, by priority and then arrival number. The score
+    is reported only: it cannot tell tasks apart once arrival numbers pass ``PRIORITY_STEP``."""
     scored = frontier.withColumn("score", score(F.col("priority"), F.col("seq")))
-    return ranked(scored, ["site"], "score", "rn", chunk_rows)
+    return ranked(scored, ["site"], "seq", "rn", chunk_rows, major="priority")
 
 
 def round_robin(
@@ -66,7 +67,7 @@ def next_batch(frontier: DataFrame, size: int, rotation: int = 0, per_site: int
     """
     depth = min(size, per_site or size)
     scored = frontier.withColumn("score", score(F.col("priority"), F.col("seq")))
-    queue = Window.partitionBy("site").orderBy("score")
+    queue = Window.partitionBy("site").orderBy("priority", "seq")
     heads = scored.withColumn("rn", F.row_number().over(queue)).where(F.col("rn") <= depth)
     return (
         heads.join(site_positions(frontier, rotation), "site")

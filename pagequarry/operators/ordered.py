@@ -45,10 +45,19 @@ def with_carry(
 
 
 def ranked(
-    df: DataFrame, keys: list[str], order: str, out: str, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    out: str,
+    chunk_rows: int = CHUNK_ROWS,
+    major: str | None = None,
 ) -> DataFrame:
-    """Row number within ``keys`` by the unique number ``order``, exact for keys of any size."""
-    rows = df.withColumn("_chunk", chunk_of(F.col(order), chunk_rows))
+    """Row number within ``keys`` by the unique number ``order``, exact for keys of any size; by
+    ``major`` first, if given."""
+    chunk = chunk_of(F.col(order), chunk_rows)
+    if major:
+        chunk = F.struct(F.col(major).alias("major"), chunk.alias("chunk"))
+    rows = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
     carried = with_carry(
         rows,

@@ -30,10 +30,10 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, key: str, text: str, first: int | None = None) -> DataFrame:
-    """Distinct (key, term) of query texts, optionally only the first distinct tokens."""
+def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct (key, term) of whole query texts."""
     terms = F.array_distinct(tokens(F.col(text)))
-    return queries.select(key, F.explode(F.slice(terms, 1, first) if first else terms).alias("term"))
+    return queries.select(key, F.explode(terms).alias("term"))
 
 
 def _joined(facts: DataFrame, queries: DataFrame, key: str, small: bool, how: str = "inner") -> DataFrame:

@@ -91,9 +91,9 @@ def tfidf_topk(spark, folder):
 
 
 def bm25_batch_topk(spark, folder):
-    """Every benchmark text's first five distinct tokens as a query."""
+    """Every benchmark text, with all its distinct tokens, as a query."""
     bench = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
-    queries = search.query_terms(bench, "query_id", "text", first=5)
+    queries = search.query_terms(bench, "query_id", "text")
     stats = search.corpus_stats(_counts(spark, folder))
     scored = search.batch_scores(_hits(spark, folder), stats, queries, K)
     return search.top_k_per_query(scored, K).select(
@@ -207,13 +207,10 @@ SELECT query_term, term, shared, dice, rank FROM (
     "bm25_topk": _top_sql("bm25"),
     "tfidf_topk": _top_sql("tfidf"),
     "bm25_batch_topk": f"""WITH {SQL_POSTINGS}, {_STATS}, {_DF},
-bt AS (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term,
-       generate_subscripts({sql_tokens('text')}, 1) AS p FROM benchmark),
-qt AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) AS r
-       FROM bt GROUP BY query_id, term),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark),
 s AS (SELECT query_id, doc_id, round(sum({_PART['bm25']}), 6) AS score
       FROM qt JOIN post USING (term) JOIN df USING (term) JOIN lens USING (doc_id) CROSS JOIN st
-      WHERE r <= 5 GROUP BY query_id, doc_id)
+      GROUP BY query_id, doc_id)
 SELECT query_id, doc_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 WHERE rank <= {K}""",

@@ -43,11 +43,14 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder used.
+    Only on a local master (tests, a laptop) may the setting be absent; a temporary folder is used
+    then. On a cluster executors would write such a folder to their own disks, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pagequarry-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -165,3 +165,29 @@ def test_recrawl_due(spark):
     )
     due = df.select(recrawl_due(F.col("last"), F.lit(now).cast("timestamp_ntz"))).collect()
     assert [r[0] for r in due] == [True, False, True]
+
+
+def test_order_holds_beyond_the_priority_step(spark):
+    """Arrival numbers above a thousand million neither overtake nor tie with another priority."""
+    from pagequarry.operators import frontier as ops
+
+    tasks = [(1, 3), (0, 1_000_000_005), (1, 5), (0, 2)]
+    rows = spark.createDataFrame([("a", p, s) for p, s in tasks], "site string, priority int, seq long")
+    placed = {(r["priority"], r["seq"]): r["rn"] for r in ops.site_order(rows, chunk_rows=4).collect()}
+    assert placed == {(0, 2): 1, (0, 1_000_000_005): 2, (1, 3): 3, (1, 5): 4}
+    batch = [(r["priority"], r["seq"]) for r in ops.next_batch(rows, 3).collect()]
+    assert batch == [(0, 2), (0, 1_000_000_005), (1, 3)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    """Without a shared folder only a local master may write intermediate tables."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from pagequarry.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError):
+        shared_folder(session)
