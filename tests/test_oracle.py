@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from pagequarry import plans
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,15 +15,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(plans.SQL) == set(plans.QUERIES)
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, con, name):
-    rows, difference = compare(contract.queries()[name](spark, FOLDER), contract.oracle_sql()[name], con)
+    rows, difference = compare(plans.QUERIES[name](spark, FOLDER), plans.SQL[name], con)
     assert difference is None
     assert rows > 0
