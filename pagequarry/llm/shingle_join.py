@@ -5,7 +5,8 @@ Jaccard similarity reaches the threshold share, under *any* total order of the s
 first ``floor(n / 4) + 1`` of each set (for 0.75). The orders here put shingles known to be frequent
 last, by frequency, and the others first, by a hash that differs from order to order. Candidates share
 a prefix shingle under the first order (found by a shuffle on shingles) and under all the others
-(tested on the pair); those left are verified exactly.
+(tested on the pair); those left are verified exactly. Before texts move for that, pairs whose sets are
+provably too far apart are refuted by parity bits, a quarter of a byte a shingle.
 
 Only components are asked for, so pairs that are already connected need no test. In two rounds every
 class is compared with one other class per shared shingle (the first, then the last of its list); what
@@ -253,55 +254,119 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
     )
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """A set as bits: each shingle flips one of the first power of two, 64 at least, not under twice its
+    size. Two sets of one width differ in at most as many bits as they have shingles apart."""
+    width = max(64, 1 << int(2 * len(found) - 1).bit_length())
+    at = (scrambled(found, 5) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8))
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many bits differ once the wider one is folded to the width of the other."""
+    if len(x) > len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(folded ^ x).sum())
+
+
 def candidate_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles): the sets named by ``keys``, perhaps some others, from the texts."""
+    """(key, n, bits, text): the classes named by ``keys``, perhaps some others, with the size and the
+    parity bits of the set and one of the texts that have it."""
     word = (F.pmod("key", F.lit(FILTER_BITS)) / 64).cast("int")
     bit = F.expr("shiftleft(1L, cast(pmod(key, 64) AS INT))")
     # FILTER_BITS / 64 rows at most.
-    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    filled = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().astype(np.int64).view(np.uint64)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[int, bytes] = {}
-            for _, found in shingle_sets(*utf8(batch.column("text"))):
+            column = batch.column("text")
+            rows: dict[int, int] = {}
+            sizes, bits = [], []
+            for row, found in shingle_sets(*utf8(column)):
                 key = set_key(found)
                 place = key % FILTER_BITS
-                if int(words[place // 64]) >> (place % 64) & 1:
-                    sets[key] = found.tobytes()
-            if sets:
-                yield pa.RecordBatch.from_pydict({"key": list(sets), "shingles": list(sets.values())})
+                if key not in rows and int(words[place // 64]) >> (place % 64) & 1:
+                    rows[key] = row
+                    sizes.append(len(found))
+                    bits.append(parity_bits(found).tobytes())
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(list(rows), pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(bits, pa.binary()),
+                        column.take(pa.array(list(rows.values()), pa.int64())).cast(pa.string()),
+                    ],
+                    ["key", "n", "bits", "text"],
+                )
+
+    found = texts.mapInArrow(chosen, "key long, n long, bits binary, text string")
+    return found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "bits", "text")))
+
+
+def both_sides(pairs: DataFrame, of_class: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of ``of_class`` for a (``left``) and b (``right``)."""
+    own = F.struct(*(c for c in of_class.columns if c != "key"))
+    a = of_class.select(F.col("key").alias("a"), own.alias("left"))
+    b = of_class.select(F.col("key").alias("b"), own.alias("right"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "left.*", "right.*").toDF(
+        "a", "b", *(f"{side}_{c}" for side in ("left", "right") for c in of_class.columns if c != "key")
+    )
 
-    found = texts.mapInArrow(chosen, "key long, shingles binary")
-    return found.groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose parity bits allow a link: sets that link have at most (100 - PERCENT) of
+    (100 + PERCENT) of their shingles apart. A pair refuted here moved a quarter of a byte a shingle."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("left_bits"), batch.column("right_bits")
+            apart = np.fromiter(
+                (
+                    bits_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                    for x, y in zip(left, right, strict=True)
+                ),
+                np.int64,
+                batch.num_rows,
+            )
+            total = batch.column("left_n").to_numpy() + batch.column("right_n").to_numpy()
+            keep = pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * total)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"]
+            )
+
+    return both_sides(pairs, sets.select("key", "n", "bits")).mapInArrow(test, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    """The pairs (a, b) of classes that link. Only texts of pairs that are still plausible move, and
+    their sets are made again where they meet: a text is less than half of its shingles' hashes."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes: dict[int, list[frozenset]] = {}
+        held = 0
+
+        def filters(key: int, found: np.ndarray) -> list[frozenset]:
+            nonlocal held
+            if key not in prefixes:
+                if held > HELD_SHINGLES:
+                    prefixes.clear()
+                    held = 0
+                made = [prefix(found, k, frequent)[0].tolist() for k in range(1, ORDERS)]
+                held += sum(map(len, made))
+                prefixes[key] = [frozenset(p) for p in made]
+            return prefixes[key]
+
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            left, right = batch.column("left"), batch.column("right")
             firsts, seconds = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            prefixes: dict[int, list[frozenset]] = {}
-            held = 0
-
-            def filters(key: int, found: np.ndarray) -> list[frozenset]:
-                nonlocal held
-                if key not in prefixes:
-                    if held > HELD_SHINGLES:
-                        prefixes.clear()
-                        held = 0
-                    made = [prefix(found, k, frequent)[0].tolist() for k in range(1, ORDERS)]
-                    held += sum(map(len, made))
-                    prefixes[key] = [frozenset(p) for p in made]
-                return prefixes[key]
-
-            for row in sorted(range(batch.num_rows), key=firsts.__getitem__):
-                x = np.frombuffer(left[row].as_buffer(), np.uint64)
-                y = np.frombuffer(right[row].as_buffer(), np.uint64)
+            # Every class has words, so both sides give each row in turn.
+            lefts = shingle_sets(*utf8(batch.column("left_text")))
+            rights = shingle_sets(*utf8(batch.column("right_text")))
+            for (row, x), (_, y) in zip(lefts, rights, strict=True):
                 small, large = sorted((len(x), len(y)))
                 if 100 * small < PERCENT * large:
                     continue
@@ -316,8 +381,10 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
                 [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"]
             )
 
-    joined = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
+    left = pinned(plausible(pairs, sets))
+    needed = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = sets.select("key", "text").join(needed, "key", "left_semi")
+    return both_sides(left, texts).mapInArrow(test, "a long, b long")
 
 
 def linked(entries: DataFrame, sets: DataFrame, frequent) -> DataFrame:
