@@ -9,9 +9,11 @@ a prefix shingle under the first order (found by a shuffle on shingles) and unde
 provably too far apart are refuted by parity bits, a quarter of a byte a shingle.
 
 Only components are asked for, so pairs that are already connected need no test. In two rounds every
-class is compared with one other class per shared shingle (the first, then the last of its list); what
-is still in different components is then compared pair by pair. So a group of thousands of near copies
-costs a few comparisons a document, and no link between components is lost.
+class is compared with one other class per shared shingle; what is still in different components is
+then compared pair by pair. The first round takes the class with the smallest place in the list: edits
+give a copy shingles of its own, which come before the shared ones, so that class is the least edited.
+A group of thousands of near copies costs a few comparisons a document, and no link between components
+is lost.
 """
 
 from __future__ import annotations
@@ -160,9 +162,10 @@ def alive(shingle: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
     """(shingle, key, n, place, first, last): prefix shingles under the first order of the classes that
-    share them with a class they can link with. ``place`` counts from 0 in the prefix; ``first`` and ``last`` are the ends of the list of a shingle that is not
-    among the frequent ones (the entry's own key where it cannot link with that end); for the frequent
-    ones they are null and the entry may stand alone.
+    share them with a class they can link with. ``place`` counts from 0 in the prefix. Of the list of a
+    shingle that is not among the frequent ones, ``first`` is the class with the smallest place and
+    ``last`` the one with the largest key (the entry's own key where it cannot link with that class);
+    for the frequent ones they are null and the entry may stand alone.
 
     Entries travel as packed arrays, one row per task and group; a frequent shingle is spread over the
     groups by class, so no group holds a whole long list.
@@ -230,8 +233,9 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
             shingle, key, n, place = shingle[keep], key[keep], n[keep], place[keep]
         edge = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else order[:0]
         size = np.diff(np.append(edge, len(shingle)))
+        by_place = np.lexsort((key, place, shingle))
         ends = []
-        for end in (edge, edge + size - 1):
+        for end in (by_place[edge], edge + size - 1):
             far = np.repeat(end, size)
             ends.append(np.where(can_link(n, place, n[far], place[far]), key[far], key))
         heavy, heavy_key, heavy_n, heavy_place = unpacked(True)
@@ -394,10 +398,11 @@ def linked(entries: DataFrame, sets: DataFrame, frequent) -> DataFrame:
         entries.where("first is null")
         .groupBy("shingle")
         .agg(
-            F.min(F.struct("key", "n", "place")).alias("low"),
+            F.min(F.struct("place", "key", "n")).alias("low"),
             F.max(F.struct("key", "n", "place")).alias("high"),
+            F.count(F.lit(1)).alias("entries"),
         )
-        .where("low.key < high.key")
+        .where("entries > 1")
     )
     tested, links, label = None, None, None
     for end, far in (("first", "low"), ("last", "high")):
