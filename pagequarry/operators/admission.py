@@ -9,7 +9,6 @@ from pagequarry.functions.html import raw_hrefs, unescaped_hrefs
 from pagequarry.functions.urls import base_parts, path_of, resolve_all, url_hash
 from pagequarry.operators.registry import (
     blocked,
-    compiled_patterns,
     follows,
     inside_site,
     path_allowed,
@@ -47,15 +46,14 @@ def with_recrawl_due(
     return urls_df.join(known, url, "left").withColumn("due", recrawl_due(F.col("_last"), now, days)).drop("_last")
 
 
-def followed_links(crawled: DataFrame, registry: DataFrame, known: list[str] | None = None) -> DataFrame:
+def followed_links(crawled: DataFrame, registry: DataFrame) -> DataFrame:
     """Links the site's mode follows, with ``config``. Pages of one-way sites that are item pages are
     dropped before their HTML is searched for links."""
-    known = known if known is not None else compiled_patterns(registry)
     pages = with_site_config(crawled, registry, ["url"]).where(F.col("config").isNotNull())
-    pages = pages.withColumn("_item", path_allowed(path_of(F.col("url")), F.col("config.allowindb"), known))
+    pages = pages.withColumn("_item", path_allowed(path_of(F.col("url")), F.col("config.allowindb")))
     open_pages = pages.where(~(F.coalesce("config.unidirection", F.lit(False)) & F.col("_item")))
     links = page_links(open_pages, ["task_seq", "site", "config", "_item"])
-    links = links.withColumn("link_is_item", path_allowed(path_of(F.col("link")), F.col("config.allowindb"), known))
+    links = links.withColumn("link_is_item", path_allowed(path_of(F.col("link")), F.col("config.allowindb")))
     needed = F.struct(
         *[F.col(f"config.{c}") for c in ("base_url", "blocklist", "rate_limit", "user_agent")]
     )

@@ -15,7 +15,7 @@ from pagequarry.functions.text import (
 )
 from pagequarry.functions.urls import path_of, slug_of
 from pagequarry.operators.ordered import first_rows
-from pagequarry.operators.registry import compiled_patterns, path_allowed, with_site_config
+from pagequarry.operators.registry import path_allowed, with_site_config
 from pagequarry.schemas import DOCUMENTS
 from pagequarry.session import pinned
 
@@ -31,11 +31,10 @@ def fixed_image(image: Column, fix_name: Column) -> Column:
     return fixed
 
 
-def item_pages(crawled: DataFrame, registry: DataFrame, known: list[str] | None = None) -> DataFrame:
+def item_pages(crawled: DataFrame, registry: DataFrame) -> DataFrame:
     """Fetched pages that belong in the index: the site is known and a pattern allows the path."""
-    known = known if known is not None else compiled_patterns(registry)
     sited = with_site_config(crawled, registry, ["url"]).where(F.col("config").isNotNull())
-    return sited.where(path_allowed(path_of(F.col("url")), F.col("config.allowindb"), known))
+    return sited.where(path_allowed(path_of(F.col("url")), F.col("config.allowindb")))
 
 
 def parsed_pages(sited: DataFrame) -> DataFrame:

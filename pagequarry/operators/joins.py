@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.session import pinned
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 256
-SALTS = 64
+#: Rows of one key that a single task takes, unless the facts are so many that the share below is more.
+TASK_ROWS = 1_000_000
+#: A key with less than this share of all facts is not split; so at most this many keys are.
+SHARE = 10_000
 
 
 def is_small(
@@ -16,11 +20,10 @@ def is_small(
 ) -> bool:
     """Measured, not estimated: at most ``max_rows`` rows of together ``max_bytes`` as JSON text.
 
-    The limit bounds the cost of measuring a table that is not small.
+    Rows and bytes are summed in each task; only the sums are shuffled.
     """
     size = (
-        df.limit(max_rows + 1)
-        .select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("bytes"))
+        df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("bytes"))
         .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
         .first()
     )
@@ -34,7 +37,7 @@ def lookup_join(
     spread: list[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``facts`` joined with a table of sites, domains or the like.
 
@@ -43,7 +46,7 @@ def lookup_join(
     """
     if is_small(lookup, max_rows):
         return facts.join(F.broadcast(lookup), key, how)
-    return salted_join(facts, lookup, key, spread, how, salts)
+    return salted_join(facts, lookup, key, spread, how, task_rows)
 
 
 def salted_join(
@@ -52,27 +55,22 @@ def salted_join(
     key: str,
     spread: list[str],
     how: str = "inner",
-    salts: int = SALTS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """A shuffle join in which the most frequent keys of the facts are split over ``salts`` tasks,
-    chosen by a hash of the ``spread`` columns; only their lookup rows are copied once per salt."""
-    hot = (
-        facts.groupBy(key)
-        .count()
-        .orderBy(F.desc("count"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
+    """A shuffle join in which every key with more facts than a task takes is split by a hash of the
+    ``spread`` columns, over as many tasks as its count asks for; only the lookup rows of such keys are
+    copied once per salt. The facts are read once more, keys only, to count them."""
+    counts = pinned(facts.where(F.col(key).isNotNull()).groupBy(key).count())
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+    most = max(task_rows, -(-total // SHARE))
+    # At most SHARE rows: each key here has more than 1 / SHARE of all facts.
+    hot = counts.where(F.col("count") > most).select(
+        key, F.ceil(F.col("count") / most).cast("long").alias("_salts")
     )
-    # At most HOT_KEYS rows by the limit above.
     salted = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0).cast("long"))
     )
     copies = lookup.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-            .otherwise(F.array(F.lit(0)))
-            .cast("array<bigint>")
-        ),
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))
     )
-    return salted.drop("_hot").join(copies.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    return salted.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], how).drop("_salt")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.urls import origin_of
 from pagequarry.operators.joins import lookup_join
 
-COMPILED_PATTERNS = 64
-
 
 def with_site_config(tasks: DataFrame, registry: DataFrame, spread: list[str]) -> DataFrame:
     """Each task with its site's configuration in ``config`` (null when the site is unknown)."""
@@ -59,31 +55,18 @@ def resolve_site(urls: DataFrame, registry: DataFrame, url: str = "url") -> Data
     return found
 
 
-def compiled_patterns(registry: DataFrame, limit: int = COMPILED_PATTERNS) -> list[str] | None:
-    """The registry's distinct allow patterns if there are at most ``limit``, else ``None``."""
-    rows = registry.select(F.explode("allowindb").alias("p")).distinct().limit(limit + 1).collect()
-    return sorted(r["p"] for r in rows) if len(rows) <= limit else None
-
-
-def _full(pattern: str) -> str:
-    return rf"\A(?:{pattern})\z"
-
-
-def path_allowed(path: Column, patterns: Column, known: list[str] | None = None) -> Column:
-    """True if any of the site's patterns matches the whole path.
-
-    With ``known`` (all distinct patterns of the registry) each is a literal, compiled once per task;
-    without, the pattern column is compiled per row.
-    """
-    if known is None:
-        return F.coalesce(
-            F.exists(
-                patterns, lambda p: F.rlike(path, F.concat(F.lit(r"\A(?:"), p, F.lit(r")\z")))
+def path_allowed(path: Column, patterns: Column) -> Column:
+    """True if any of the site's patterns matches the whole path. ``regexp_instr`` keeps the pattern it
+    compiled last, so rows of one site in a row compile a single pattern once."""
+    return F.coalesce(
+        F.exists(
+            patterns,
+            lambda p: F.coalesce(
+                F.regexp_instr(path, F.concat(F.lit(r"\A(?:"), p, F.lit(r")\z"))) > 0, F.lit(False)
             ),
-            F.lit(False),
-        )
-    tests = [F.array_contains(patterns, p) & path.rlike(_full(p)) for p in known]
-    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+        ),
+        F.lit(False),
+    )
 
 
 def blocked(url: Column, blocklist: Column) -> Column:

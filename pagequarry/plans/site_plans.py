@@ -169,9 +169,8 @@ def blocklist_filter(spark, folder):
 
 def allow_filter(spark, folder):
     registry = host_registry(spark, folder)
-    known = sites.compiled_patterns(registry)
     sited = with_site_config(_crawled(spark, folder).drop("html"), registry, ["url"])
-    return sited.where(sites.path_allowed(path_of(F.col("url")), F.col("config.allowindb"), known)).select("task_seq", "url")
+    return sited.where(sites.path_allowed(path_of(F.col("url")), F.col("config.allowindb"))).select("task_seq", "url")
 
 
 def follow_filter(spark, folder):

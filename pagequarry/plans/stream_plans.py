@@ -1,7 +1,6 @@
 """Streams made of ``events`` and ``pages``, compared with the equal batch result.
 
-The events are laid out as files in time order and read one file per micro-batch, so state is
-carried between batches. A closing heartbeat far in the future moves the watermark past all of them.
+The events arrive in slices in time order, one micro-batch each, so state is carried between batches. A closing heartbeat far in the future moves the watermark past all of them.
 """
 
 from __future__ import annotations
@@ -23,7 +22,10 @@ from pagequarry.plans import index_plans
 from pagequarry.streaming import jobs
 from pagequarry.streaming.runner import drain, read_batches
 
-FILES = 3
+#: A slice of a stream has about so many rows, and there are several so that state is carried on.
+SLICE_ROWS = 10_000_000
+LEAST_SLICES = 3
+LATE = "1 minute"
 GAP = "20 minutes"
 
 
@@ -31,20 +33,38 @@ def _fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _arrivals(spark, root, rows: DataFrame, order: str, heartbeat: DataFrame | None = None) -> DataFrame:
-    """``rows`` as a stream of files in ``order``."""
-    bounds = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    low, high = bounds["low"], bounds["high"]
-    step = (high - low) / FILES
-    for i in range(FILES):
-        part = rows.where(F.col(order) >= F.lit(low + step * i)) if i else rows
-        if i < FILES - 1:
-            part = part.where(F.col(order) < F.lit(low + step * (i + 1)))
-        # One file per micro-batch, so that the time order of the files is that of the rows.
-        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
+def _arrivals(spark, root, rows: DataFrame, order: str, heartbeat: DataFrame | None = None):
+    """``rows`` arriving in slices by ``order``: (the stream, whose first slice is there; the others).
+    Every slice is as many files as tasks write, and :func:`_drained` makes a micro-batch of it."""
+    span = rows.agg(
+        F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("rows")
+    ).first()
+    low, slices = span["low"], max(LEAST_SLICES, -(-span["rows"] // SLICE_ROWS))
+    if low is None:
+        parts = [rows]
+    else:
+        step = (span["high"] - low) / slices
+        at = [F.lit(low + step * i) for i in range(slices)]
+        parts = [
+            rows.where(
+                (F.col(order) >= at[i] if i else F.lit(True))
+                & (F.col(order) < at[i + 1] if i < slices - 1 else F.lit(True))
+            )
+            for i in range(slices)
+        ]
     if heartbeat is not None:
-        heartbeat.coalesce(1).write.mode("append").parquet(f"{root}/input")
-    return stream_table(spark, f"{root}/input", rows.schema, files_per_batch=1)
+        parts.append(heartbeat)
+    parts[0].write.mode("append").parquet(f"{root}/input")
+    return stream_table(spark, f"{root}/input", rows.schema), parts[1:]
+
+
+def _drained(root, writer, later: list[DataFrame]) -> int:
+    """Runs the stream over each slice as it arrives; gives the rows that came too late."""
+    dropped = drain(writer, f"{root}/checkpoint")
+    for part in later:
+        part.write.mode("append").parquet(f"{root}/input")
+        dropped += drain(writer, f"{root}/checkpoint")
+    return dropped
 
 
 def _timed_events(spark, folder):
@@ -76,27 +96,27 @@ def _with_heartbeat(spark, root, events):
 
 def stream_dedupe(spark, folder):
     root = _fresh_folder(spark)
-    stream = _arrivals(spark, root, _timed_events(spark, folder), "ts")
+    stream, later = _arrivals(spark, root, _timed_events(spark, folder), "ts")
     unique = jobs.deduplicated(stream, ["event_id"])
-    drain(unique.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
+    _drained(root, unique.writeStream.format("parquet").option("path", f"{root}/out"), later)
     kept = spark.read.schema(unique.schema).parquet(f"{root}/out")
     return kept.select("namespace", F.date_format("day", "yyyy-MM-dd").alias("day"), "url_hash")
 
 
 def stream_counters(spark, folder):
     root = _fresh_folder(spark)
-    stream = _with_heartbeat(spark, root, _timed_events(spark, folder))
-    counts = jobs.windowed_counts(stream, "1 hour")
-    drain(counts.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
+    stream, later = _with_heartbeat(spark, root, _timed_events(spark, folder))
+    counts = jobs.windowed_counts(stream, LATE, "1 hour")
+    _drained(root, counts.writeStream.format("parquet").option("path", f"{root}/out"), later)
     done = spark.read.schema(counts.schema).parquet(f"{root}/out").where("metric <> 'heartbeat'")
     return done.select(F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "metric", "events")
 
 
 def stream_sessions(spark, folder):
     root = _fresh_folder(spark)
-    stream = _with_heartbeat(spark, root, _timed_events(spark, folder))
-    sessions = jobs.activity_sessions(stream, GAP)
-    drain(sessions.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
+    stream, later = _with_heartbeat(spark, root, _timed_events(spark, folder))
+    sessions = jobs.activity_sessions(stream, LATE, GAP)
+    _drained(root, sessions.writeStream.format("parquet").option("path", f"{root}/out"), later)
     done = spark.read.schema(sessions.schema).parquet(f"{root}/out").where("site <> 'heartbeat'")
     time = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return done.select("site", F.date_format("started", time).alias("started"), F.date_format("ended", time).alias("ended"), "events")
@@ -104,8 +124,8 @@ def stream_sessions(spark, folder):
 
 def stream_retry(spark, folder):
     root = _fresh_folder(spark)
-    stream = _arrivals(spark, root, frontier_plans.event_tasks(spark, folder), "seq")
-    drain(jobs.route_failures(stream, f"{root}/retry", f"{root}/dead"), f"{root}/checkpoint")
+    stream, later = _arrivals(spark, root, frontier_plans.event_tasks(spark, folder), "seq")
+    _drained(root, jobs.route_failures(stream, f"{root}/retry", f"{root}/dead"), later)
     routed = []
     for route in ("retry", "dead"):
         rows = decoded(read_batches(spark, f"{root}/{route}").select("seq", "payload"))
@@ -115,14 +135,14 @@ def stream_retry(spark, folder):
 
 def stream_slots(spark, folder):
     root = _fresh_folder(spark)
-    stream = _arrivals(spark, root, frontier_plans._requests(spark, folder), "seq")
-    drain(jobs.reserve_slots(stream, f"{root}/slots", f"{root}/state"), f"{root}/checkpoint")
+    stream, later = _arrivals(spark, root, frontier_plans._requests(spark, folder), "seq")
+    _drained(root, jobs.reserve_slots(stream, f"{root}/slots", f"{root}/state"), later)
     return read_batches(spark, f"{root}/slots").select("site", "seq", "start_us")
 
 
 def _indexed_store(spark, folder) -> IndexStore:
     root = _fresh_folder(spark)
-    stream = _arrivals(spark, root, site_plans.submissions(spark, folder), "seq")
+    stream, later = _arrivals(spark, root, site_plans.submissions(spark, folder), "seq")
     store = IndexStore(spark, f"{root}/index", buckets=4)
     writer = jobs.index_submissions(
         stream,
@@ -131,7 +151,7 @@ def _indexed_store(spark, folder) -> IndexStore:
         store,
         lambda number: F.lit(site_plans.NOW).cast("timestamp_ntz"),
     )
-    drain(writer, f"{root}/checkpoint")
+    _drained(root, writer, later)
     return store
 
 

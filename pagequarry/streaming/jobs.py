@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagequarry.operators import frontier, index_build, tasks
-from pagequarry.operators.joins import is_small
 from pagequarry.operators.visited import KEYS
 from pagequarry.sources.store import IndexStore
 from pagequarry.streaming.runner import batch_folder, per_batch, write_batch
@@ -31,8 +30,9 @@ def deduplicated(stream: DataFrame, spread: list[str], keys: list[str] | None =
     return marked.dropDuplicatesWithinWatermark([*keys, "_salt"]).dropDuplicatesWithinWatermark(keys).drop("_salt")
 
 
-def windowed_counts(stream: DataFrame, width: str = "1 second", late: str = "1 minute") -> DataFrame:
-    """Events per metric and window; counts combine before the shuffle."""
+def windowed_counts(stream: DataFrame, late: str, width: str = "1 second") -> DataFrame:
+    """Events per metric and window; counts combine before the shuffle. Events more than ``late`` behind
+    the latest are not counted; ``runner.drain`` tells how many rows that were."""
     return (
         stream.withWatermark("ts", late)
         .groupBy(F.window("ts", width), "metric")
@@ -41,9 +41,10 @@ def windowed_counts(stream: DataFrame, width: str = "1 second", late: str = "1 m
     )
 
 
-def activity_sessions(stream: DataFrame, gap: str = IDLE, late: str = "1 minute") -> DataFrame:
+def activity_sessions(stream: DataFrame, late: str, gap: str = IDLE) -> DataFrame:
     """Stretches of work per site, ended by ``gap`` without any. With the session setting
-    ``sessionWindow.merge.sessions.in.local.partition`` a busy site's events merge before the shuffle."""
+    ``sessionWindow.merge.sessions.in.local.partition`` a busy site's events merge before the shuffle. Later ones than ``late`` are left out and told by
+    ``runner.drain``."""
     return (
         stream.withWatermark("ts", late)
         .groupBy(F.session_window("ts", gap), "site")
@@ -79,16 +80,11 @@ def reserve_slots(requests: DataFrame, slots_root: str, state_root: str) -> Data
     return per_batch(requests, reserve)
 
 
-def fetch_from(pages: DataFrame, pushed_urls: int = 1_000) -> Callable[[DataFrame], DataFrame]:
-    """Fetching as a lookup in a table of pages. The URLs of a small batch become a pushed-down
-    filter, so of pages sorted by URL only the row groups they can be in are read; a larger batch
-    is joined."""
+def fetch_from(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Fetching as a join with a table of pages, whatever the size of the batch."""
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        found = pages.select("url", "html")
-        if is_small(wanted, pushed_urls):
-            found = found.where(F.col("url").isin([r["url"] for r in wanted.select("url").collect()]))
-        return found.join(wanted, "url")
+        return pages.select("url", "html").join(wanted, "url")
 
     return fetch
 

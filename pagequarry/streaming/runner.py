@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def drain(writer: DataStreamWriter, checkpoint: str, timeout: int = 600) -> None:
-    """Processes all that is there, then stops. Raises if that takes longer than ``timeout`` s."""
+def drain(writer: DataStreamWriter, checkpoint: str, timeout: float | None = None) -> int:
+    """Processes all that is there, then stops; gives the rows left out as too late for the watermark.
+    Raises if it takes longer than ``timeout`` seconds, where given."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream still running after {timeout} s")
+        return sum(
+            state["numRowsDroppedByWatermark"]
+            for progress in query.recentProgress
+            for state in progress["stateOperators"]
+        )
     finally:
         query.stop()
 
