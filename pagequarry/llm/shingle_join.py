@@ -34,7 +34,7 @@ from pagequarry.session import pinned
 PERCENT = 75
 #: Orders of the shingles used as filters.
 ORDERS = 3
-#: A shingle is reported as possibly frequent by a task that sees it in so many sets.
+#: A shingle is reported as possibly frequent by a task that sees it in so many sets, 2 at least.
 SEEN_OFTEN = 2
 #: Most shingles whose frequency the orders use (16 bytes each in every worker). Any order gives the
 #: right result; frequencies only keep the lists short.
@@ -79,6 +79,19 @@ def prefix(found: np.ndarray, order: int, frequent: np.ndarray) -> tuple[np.ndar
     return found[chosen], rank[chosen] >= 0
 
 
+def repeated(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number of sets that have it) of those in at least ``SEEN_OFTEN`` sets. Empties ``sets``,
+    so that the shingles of a whole batch are held once."""
+    if not sets:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    every = np.concatenate(list(sets.values()))
+    sets.clear()
+    every.sort()
+    shingle, again = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+    often = again + 1 >= SEEN_OFTEN
+    return shingle[often], again[often] + 1
+
+
 def described(docs: DataFrame) -> DataFrame:
     """From (doc_id, text): rows (doc_id, key, n) for documents, with key null and n 0 without words,
     and rows (shingle, seen) for shingles that a task saw in several sets."""
@@ -93,11 +106,7 @@ def described(docs: DataFrame) -> DataFrame:
             for row, found in shingle_sets(*utf8(batch.column("text"))):
                 key[row], n[row] = set_key(found), len(found)
                 sets.setdefault(key[row], found)
-            every = np.sort(np.concatenate(list(sets.values()))) if sets else np.zeros(0, np.uint64)
-            edge = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else every
-            seen = np.diff(np.append(edge, len(every)))
-            often = seen >= SEEN_OFTEN
-            shingle, seen = every[edge[often].astype(np.int64)].view(np.int64), seen[often]
+            shingle, seen = repeated(sets)
             none = len(shingle)
             ids = batch.column("doc_id").cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -105,7 +114,7 @@ def described(docs: DataFrame) -> DataFrame:
                     pa.concat_arrays([ids, pa.nulls(none, pa.int64())]),
                     pa.concat_arrays([pa.array(key, mask=n == 0), pa.nulls(none, pa.int64())]),
                     pa.concat_arrays([pa.array(n), pa.nulls(none, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(shingle)]),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(shingle.view(np.int64))]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(seen.astype(np.int64))]),
                 ],
                 ["doc_id", "key", "n", "shingle", "seen"],
