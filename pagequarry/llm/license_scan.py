@@ -202,8 +202,12 @@ def scanned(text: Column, frequency: dict[bytes, int]) -> Column:
                 part = data[offsets[first] : offsets[last]]
                 n[first:last] = word_counts(part, at)
                 raw = part.tobytes().translate(_CAPITALS)
-                hits = [m.start() for m in templates.anchors.finditer(raw)]
-                for row in np.unique(np.searchsorted(at, hits, side="right") - 1).tolist():
+                # A line feed ends each text, so that no word has a neighbour in another text.
+                ends = at.tolist()
+                apart = b"\n".join([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+                begins = at[:-1] + np.arange(len(at) - 1)
+                hits = [m.start() for m in templates.anchors.finditer(apart)]
+                for row in np.unique(np.searchsorted(begins, hits, side="right") - 1).tolist():
                     words = _SPLIT.findall(raw[at[row] : at[row + 1]])
                     base[first + row] = [
                         {"word": k, "label": label} for k, label in phrase_places(words, templates)

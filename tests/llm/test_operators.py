@@ -460,6 +460,21 @@ def test_license_windows_against_brute_force(spark, awkward):
     assert license_scan.scan(awkward.limit(0)).collect() == []
 
 
+def test_license_phrases_at_the_ends_of_texts(spark):
+    parts = ["MIT License", "released under the MIT License", "license mit licensex", "words", "é", "7", "", None, "Apache License", "cc by", "x."]
+    texts = [a for pair in itertools.product(parts, parts) for a in pair]
+    got = by_id(license_scan.digest(license_scan.scan(table(spark, texts).coalesce(1))))
+    for k, t in enumerate(texts):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(CAPITALS))
+        want = sorted(
+            p
+            for phrase, _ in license_scan.PHRASES
+            for p in range(len(words))
+            if words[p : p + len(phrase.split())] == phrase.split()
+        )
+        assert (got[k]["n_base"], got[k]["first_word"]) == (len(want), want[0] if want else None), (k, t)
+
+
 def test_best_run_against_brute_force():
     rng = random.Random(1)
     for _ in range(300):
