@@ -4,10 +4,12 @@
 numbers with a Luhn digit, international telephone numbers) and are always kept. *Generators* of high
 recall propose further, overlapping spans: mail addresses with a spelled out at and dot, defanged or
 version 6 machine addresses, numbers grouped in other ways. Boosted trees over features of the format
-and of the context score these; a span is added when its score reaches the threshold of its kind.
+and of the context score these; a span is added when its score reaches the threshold of its kind and it
+passes the check of its form.
 
-The trees learn from the table itself. Base spans, and the same spans rewritten in the ways the
-generators look for, are positive; proposals that fail the checks are negative. All features are small
+The trees learn from the table itself. Base spans rewritten in the ways the generators look for are
+positive; proposals that fail the check of their form (:func:`fails`) are negative. Proposals that pass
+it may be true or not and teach nothing, however many there are. All features are small
 whole numbers, so all examples of a table of any size are counted by feature vector
 (``FEATURE_VECTORS`` at most), and the trees are fitted to these counts. Half of the rows is set aside
 to calibrate the thresholds: the lowest score at which ``PRECISION`` of them are right.
@@ -48,7 +50,7 @@ GENERATORS = (
 #: Words before a span that speak for one.
 CUES = r"(?i)(?:mail|call|tel|phone|fax|mobile|card|visa|iban|contact|write|host|server|addr|ip)\W{0,3}$"
 #: Number of values of each feature, in the order of :func:`features`.
-SIZES = (4, 6, 3, 2, 4, 2, 2, 2, 5, 4)
+SIZES = (4, 6, 4, 2, 4, 2, 2, 2, 5, 4)
 FEATURE_VECTORS = math.prod(SIZES)
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
 #: Shrinks leaves with few examples, so that one odd example decides nothing.
@@ -75,20 +77,36 @@ def is_base(kind: int, match: Column) -> Column:
     return F.length(only).between(9, 15)
 
 
+def fails(kind: int, match: Column) -> Column:
+    """The check of a proposal: whether it cannot be what its form says. Mail: a host without a last
+    label of letters, or a sentence that ends before a capital ("at home.Then"); machine: a part above
+    255; card: no 12 to 19 digits with a Luhn digit; telephone: no 9 to 15 digits after 00, or all the same."""
+    only = digits(match)
+    if kind == 0:
+        return ~match.rlike(r"[.\x20\])][A-Za-z][A-Za-z0-9-]*[A-Za-z]$") | match.rlike(r"\x20at\x20[A-Za-z0-9.-]*[a-z0-9]\.[A-Z][a-z]")
+    if kind == 1:
+        parts = F.split(F.replace(match, F.lit("[.]"), F.lit(".")), r"\.")
+        return ~match.contains(":") & F.exists(parts, lambda p: F.coalesce(p.try_cast("long"), F.lit(256)) > 255)
+    if kind == 2:
+        return ~(F.length(only).between(12, 19) & F.call_function("luhn_check", only))
+    bare = F.when(match.startswith("00"), F.substr(only, F.lit(3))).otherwise(only)
+    return ~F.length(bare).between(9, 15) | only.rlike(r"^(?:00)?([0-9])\1*$")
+
+
 def features(kind: int, match: Column, left: Column, right: Column) -> Column:
     """One whole number that stands for the feature vector of a proposed span.
 
-    Kind; number of digits; at sign (none, sign, spelled); Luhn digit; separators (none, blank or
-    hyphen, dot, other); cue word before; glued to a letter or digit before, after; dots; beginning
-    (plus, bracket, 00, other).
+    Kind; number of digits (0 in a version 6 address); at sign (none, sign, spelled in brackets, spelled
+    bare); Luhn digit; separators (none, blank or hyphen, dot, other); cue word before; glued to a letter
+    or digit before, after; dots; beginning (plus, bracket, 00, other).
     """
-    only = digits(match)
+    only = F.when(match.contains(":"), F.lit("")).otherwise(digits(match)) if kind == 1 else digits(match)
     n = F.length(only)
     dots = F.length(match) - F.length(F.replace(match, F.lit("."), F.lit("")))
     values = (
         F.lit(kind),
         F.when(n < 9, 0).when(n < 12, 1).when(n < 16, 2).when(n == 16, 3).when(n <= 19, 4).otherwise(5),
-        F.when(match.contains("@"), 1).when(match.rlike(r"[\x20\[(]at[\x20\])]"), 2).otherwise(0),
+        F.when(match.contains("@"), 1).when(match.rlike(r"[\[(]\x20?at\x20?[\])]"), 2).when(match.contains(" at "), 3).otherwise(0),
         F.when(n.between(12, 19), F.call_function("luhn_check", only).cast("int")).otherwise(0),
         F.when(match.rlike(r"^[0-9A-Za-z]*$"), 0)
         .when(match.rlike(r"^[0-9A-Za-z\x20-]*$"), 1)
@@ -109,18 +127,27 @@ def features(kind: int, match: Column, left: Column, right: Column) -> Column:
 def rewritten(kind: int, match: Column) -> list[Column]:
     """A base match as the generators' patterns would have it."""
     if kind == 0:
+        at, dot = F.split(match, "@"), lambda c, to: F.replace(c, F.lit("."), F.lit(to))
+        forms = ((" at ", " dot "), (" (at) ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", "."))
+        return [F.concat(at[0], F.lit(a), dot(at[1], d)) for a, d in forms]
+    if kind == 1:
+        # The 32 bits in version 6 addresses: mapped, and as the network of 6to4.
+        part = [F.lpad(F.hex(F.split(match, r"\.")[k].try_cast("long")), 2, "0") for k in range(4)]
+        high, low = F.concat(part[0], part[1]), F.concat(part[2], part[3])
         return [
-            F.replace(F.replace(match, F.lit("@"), F.lit(" at ")), F.lit("."), F.lit(" dot ")),
-            F.replace(match, F.lit("@"), F.lit(" (at) ")),
-            F.replace(match, F.lit("@"), F.lit(" @ ")),
+            F.replace(match, F.lit("."), F.lit("[.]")),
+            F.concat(F.lit("0000:0000:0000:0000:0000:ffff:"), high, F.lit(":"), low),
+            F.concat(F.lit("2002:"), high, F.lit(":"), low, F.lit(":0:0:0:0:1")),
         ]
-    if kind == 1:
-        return [F.replace(match, F.lit("."), F.lit("[.]"))]
     if kind == 2:
-        return [F.regexp_replace(digits(match), r"([0-9]{4})(?=[0-9])", "$1.")]
+        only = digits(match)
+        grouped = lambda by: F.regexp_replace(only, r"([0-9]{4})(?=[0-9])", "$1" + by)
+        return [grouped("."), grouped("/"), only]
+    national = lambda form: F.regexp_replace(F.right(digits(match), F.lit(10)), r"^([0-9]{3})([0-9]{3})([0-9]+)$", form)
     return [
         F.concat(F.lit("00"), F.substr(match, F.lit(2))),
-        F.regexp_replace(match, r"^\+[0-9]+\x20?", ""),
+        F.concat(F.lit("00"), digits(match)),
+        *[national(form) for form in ("($1) $2-$3", "$1-$2-$3", "$1 $2 $3", "$1.$2.$3")],
     ]
 
 
@@ -143,7 +170,7 @@ def matches(text: Column, pattern: str, hint: str) -> Column:
 def placed(rows: Column, kept, made) -> Column:
     """``made(match, start, stop)`` of the rows for which ``kept`` holds, start and stop being places
     in the text. Running sums are taken block by block, and over the blocks."""
-    kind = "struct<at:int,found:array<struct<start:int,kind:int,stop:int,codes:array<int>>>>"
+    kind = "struct<at:int,found:array<struct<start:int,kind:int,stop:int,codes:array<int>,wrong:boolean>>>"
     blocks = F.transform(
         F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))).otherwise(
             F.array().cast("array<int>")
@@ -168,6 +195,7 @@ def placed(rows: Column, kept, made) -> Column:
                 s["kind"].alias("kind"),
                 (s["stop"] + acc["at"]).alias("stop"),
                 s["codes"].alias("codes"),
+                s["wrong"].alias("wrong"),
             ),
         )
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["found"], moved).alias("found")).cast(kind)
@@ -176,13 +204,18 @@ def placed(rows: Column, kept, made) -> Column:
 
 
 def spans(text: Column) -> tuple[Column, Column]:
-    """(base spans, proposed spans) of a text, each an array of (start, kind, stop, codes). The codes of
-    a base span are those of its rewritten forms, the code of a proposal its own."""
+    """(base spans, proposed spans) of a text, each an array of (start, kind, stop, codes, wrong). The
+    codes of a base span are those of its rewritten forms, the code of a proposal its own; wrong is a
+    proposal that fails its check."""
     base, more = [], []
 
-    def made(kind: int, codes) -> object:
+    def made(kind: int, codes, wrong=lambda x: F.lit(False)) -> object:
         return lambda x, start, stop: F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), codes(x).alias("codes")
+            start.alias("start"),
+            F.lit(kind).alias("kind"),
+            stop.alias("stop"),
+            codes(x).alias("codes"),
+            wrong(x).alias("wrong"),
         )
 
     for kind, (pattern, hint) in enumerate(zip(BASE, HINTS, strict=True)):
@@ -191,7 +224,7 @@ def spans(text: Column) -> tuple[Column, Column]:
         base.append(placed(matches(text, pattern, hint), kept, made(kind, codes)))
     for kind, pattern, hint in GENERATORS:
         codes = lambda x, k=kind: F.array(features(k, x["m"], x["left"], x["right"]))
-        more.append(placed(matches(text, pattern, hint), lambda x: F.lit(True), made(kind, codes)))
+        more.append(placed(matches(text, pattern, hint), lambda x: F.lit(True), made(kind, codes, lambda x, k=kind: fails(k, x["m"]))))
     return F.flatten(F.array(*base)), F.flatten(F.array(*more))
 
 
@@ -302,7 +335,7 @@ def fit(counts: list[tuple[int, int, int, int]]) -> Trees:
 
 def train(found: DataFrame) -> Trees:
     """Trees from the spans of all rows (base, more, fold)."""
-    no = F.transform("more", lambda s: F.struct(s["codes"][0].alias("code"), F.lit(0).alias("label")))
+    no = F.transform(F.filter("more", lambda s: s["wrong"]), lambda s: F.struct(s["codes"][0].alias("code"), F.lit(0).alias("label")))
     yes = F.transform(
         F.flatten(F.transform("base", lambda s: s["codes"])),
         lambda c: F.struct(c.alias("code"), F.lit(1).alias("label")),
@@ -328,7 +361,7 @@ def found_spans(docs: DataFrame, text: str) -> DataFrame:
 
 
 def added(more: Column, trees: Trees) -> Column:
-    """The proposals whose score reaches the threshold of their kind."""
+    """The proposals that pass their check and whose score reaches the threshold of their kind."""
     if all(math.isinf(t) for t in trees.thresholds):
         return F.filter(more, lambda s: F.lit(False))
 
@@ -337,7 +370,7 @@ def added(more: Column, trees: Trees) -> Column:
         for kind, t in enumerate(trees.thresholds):
             if not math.isinf(t):
                 floor = F.when(s["kind"] == kind, F.lit(t - 1e-9)).otherwise(floor)
-        return trees.column(s["codes"][0]) >= floor
+        return ~s["wrong"] & (trees.column(s["codes"][0]) >= floor)
 
     return F.filter(more, enough)
 

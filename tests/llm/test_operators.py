@@ -318,6 +318,47 @@ def test_boosted_trees_add_rewritten_addresses(spark):
     assert "email:16:41" in got[300]["spans"] and got[300]["n_email"] == 0
 
 
+def test_obfuscated_forms_may_outnumber_base_ones(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    number = lambda n: str(rng.randrange(10 ** (n - 1), 10**n))
+    part = lambda: rng.randrange(1, 256)
+
+    def card():
+        head = number(15)
+        return head + next(str(c) for c in range(10) if luhn(head + str(c)))
+
+    base = [
+        lambda: f"{word()}@{word()}.com",
+        lambda: f"{part()}.{part()}.{part()}.{part()}",
+        lambda: card(),
+        lambda: f"+1 ({rng.randrange(200, 999)}) {number(3)}-{number(4)}",
+    ]
+    hidden = [
+        ("email", lambda: f"{word()} at {word()} dot com"),
+        ("email", lambda: f"{word()} (at) {word()}.org"),
+        ("email", lambda: f"{word()} [at] {word()} [dot] org"),
+        ("ip", lambda: f"{part()}[.]{part()}[.]{part()}[.]{part()}"),
+        ("ip", lambda: "2001:db8:" + ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(6))),
+        ("card", lambda: re.sub(r"(\d{4})(?=\d)", r"\1.", card())),
+        ("phone", lambda: f"({rng.randrange(200, 999)}) {number(3)}-{number(4)}"),
+        ("phone", lambda: f"{rng.randrange(200, 999)}-{number(3)}-{number(4)}"),
+        ("phone", lambda: f"0049 ({number(3)}) {number(7)}"),
+    ]
+    wrong = [
+        lambda: re.sub(r"(\d{4})(?=\d)", r"\1.", str(int(card()) + 1)),
+        lambda: f"{word()} at home.Then {word()}",
+    ]
+    texts = [f"{word()} say {make()} {word()}" for make in base for _ in range(20)]
+    cases = [(kind, f"x{k} ", make()) for k in range(400) for kind, make in [hidden[k % len(hidden)]]]
+    texts += [f"{a}|{b}| {word()}" for _, a, b in cases]
+    texts += [f"{word()} |{make()}| {word()}" for make in wrong for _ in range(15)]
+    got = by_id(pii.digest(pii.detect(table(spark, texts))))
+    for k, (kind, a, b) in enumerate(cases, 80):
+        assert f"{kind}:{len(a) + 1}:{len(a) + 1 + len(b)}" in got[k]["spans"].split(","), (b, got[k]["spans"])
+    assert all(not got[k]["spans"] for k in range(480, len(texts)))
+
+
 def test_redaction(spark, awkward):
     d = table(spark, ["mail a@b.cd now +1 (555) 123-4567", "nothing", None, "é1.2.3.4"])
     got = {r["doc_id"]: r for r in pii.redacted(d).collect()}
