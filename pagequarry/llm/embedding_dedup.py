@@ -4,9 +4,7 @@ Equal vectors are one. Centroids are fitted on a bounded sample; every vector be
 its nearest centroid. A pair that is similar enough can still lie on two sides of a border, so a vector
 near the border of another cell is also compared there, as a guest: with the unit normal u of the
 border, a neighbour y beyond it has y.u <= 0, hence x.u <= sqrt(1 - threshold^2) for any link. That
-bound is the ``margin`` that provably finds every link. The default is smaller, since the difference of
-two neighbours spreads over all dimensions: it finds the links of the given data, at a fraction of the
-guests (see the README for the measured recall).
+bound is the ``margin`` used, so every link is found.
 
 Inside a cell, vectors are dealt into blocks of bounded size and each pair of blocks is one matrix
 product. It returns sums of links and a spanning forest, never the pairs, so a group of thousands of
@@ -26,9 +24,14 @@ from pagequarry.llm.components import components
 from pagequarry.session import pinned
 
 THRESHOLD = 0.9
-#: How far from the border of a cell a vector is still compared there. sqrt(1 - THRESHOLD^2) = 0.436
-#: is exact for any data.
-MARGIN = 0.2
+
+
+def exact_margin(threshold: float) -> float:
+    """How far from the border of a cell a vector can be that has a link beyond it; rounding aside."""
+    return float(np.sqrt(1 - np.clip(threshold, 0, 1) ** 2)) + 1e-6
+
+
+MARGIN = exact_margin(THRESHOLD)
 #: Vectors the centroids are fitted on, about; rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
 #: Vectors per cell aimed at; least and most cells.
@@ -212,14 +215,17 @@ def dedupe(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
     threshold: float = THRESHOLD,
-    margin: float = MARGIN,
+    margin: float | None = None,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row of ``vectors``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; neither
     do vectors of different lengths. Equal vectors always link. Ids should be unique; rows that share
     one are rows of their own with that id. A row without id is compared with nothing and not kept.
+    Without a margin the exact one of the threshold is taken.
     """
+    if margin is None:
+        margin = exact_margin(threshold)
     e = F.col("embedding")
     fine = (
         F.col("vec_id").isNotNull()

@@ -164,6 +164,19 @@ def test_embeddings_against_brute_force(spark, monkeypatch, margin):
     assert embedding_dedup.dedupe(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.7])
+def test_embeddings_of_few_dimensions(spark, monkeypatch, threshold):
+    monkeypatch.setattr(embedding_dedup, "CELL", 5)
+    angle = np.random.default_rng(2).random(400) * 2 * np.pi
+    rows = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32)
+    table = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = by_id(embedding_dedup.dedupe(table, threshold=threshold), "vec_id")
+    y = rows.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= threshold).sum(axis=1) - 1
+    assert [got[k]["n_links"] for k in range(400)] == want.tolist()
+
+
 def test_embedding_recall_on_the_given_table(spark):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     got = by_id(embedding_dedup.dedupe(rows), "vec_id")
