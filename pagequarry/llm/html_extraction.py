@@ -58,6 +58,9 @@ NOISE = frozenset(
     "contentinfo form skip".split()
 )
 CONTENT = frozenset("article main content post entry story text body".split())
+#: Words that make a class token the name of a layout: one of these anywhere, or last.
+LACKING = frozenset("has have no non not with without hide".split())
+LAYOUT = frozenset("page layout site template theme".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
     r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/<>]*+)(?P<rest>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<(?P<cut>/?[A-Za-z][^<>]*+)\Z|"
@@ -70,12 +73,18 @@ SPACE = re.compile(r"\s+")
 
 
 def marks(rest: str) -> frozenset[str]:
-    """Lower-case words of the class, id and role of a tag."""
+    """Lower-case words of the class, id and role of a tag. Of a token that names a layout ("has-sidebar",
+    "search-page") or the header of content ("entry-header") no word counts that marks noise."""
     if "=" not in rest:
         return frozenset()
-    return frozenset(
-        w for m in ATTRIBUTE.finditer(rest) for w in PARTS.findall((m[2] or m[3] or m[4] or "").lower())
-    )
+    out: set[str] = set()
+    for m in ATTRIBUTE.finditer(rest):
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            words = PARTS.findall(token)
+            layout = words and words[-1] in LAYOUT or not LACKING.isdisjoint(words)
+            titled = words and words[-1] == "header" and not CONTENT.isdisjoint(words)
+            out.update(set(words) - NOISE if layout or titled else words)
+    return frozenset(out)
 
 
 def noisy(name: str, words: frozenset[str], inside: bool) -> bool:
@@ -100,16 +109,35 @@ class Run:
 
 
 def runs(page: str) -> list[Run]:
-    """The page as runs, in order."""
+    """The page as runs, in order. Where every article stands in elements that are noise by their class,
+    these enclose the content, and those around the longest article are no noise."""
+    articles: list[tuple[list[int], list[int]]] = []
+    out = parsed(page, frozenset(), articles)
+    if not articles or any(not around for _, around in articles):
+        return out
+    size = lambda a: sum(r.words for r in out[a[0][0] : a[0][1]])
+    return parsed(page, frozenset(max(articles, key=size)[1]), [])
+
+
+def parsed(page: str, spared: frozenset[int], articles: list) -> list[Run]:
+    """Runs of the page; elements whose first run is in ``spared`` are no noise by class. Adds (first and
+    last run, noise elements around) of every article that is not noise of itself."""
     out: list[Run] = []
+    marked: list[int] = []  # first run of the open elements that are noise by class
+    opened: list[tuple[int, int, bool]] = []  # of every open element: its first run, place in articles, marked
     stack: list[tuple[str, bool, bool]] = []  # name, noisy (or inside noise), inside an article
     raw = ""
     at, end = 0, len(page)
 
     def close(depth: int) -> None:
-        for name, noise, inside in reversed(stack[depth:]):
+        for (name, noise, inside), (_, which, own) in zip(reversed(stack[depth:]), reversed(opened[depth:]), strict=True):
+            if which >= 0:
+                articles[which][0][1] = len(out)
+            if own:
+                marked.pop()
             out.append(Run("/" + name, None, name in BLOCK, noise, inside))
         del stack[depth:]
+        del opened[depth:]
 
     while at < end:
         m = TOKEN.match(page, at)
@@ -142,13 +170,24 @@ def runs(page: str) -> list[Run]:
                     break
         above = stack[-1] if stack else ("", False, False)
         inside = above[2] or name in ("article", "main")
-        noise = above[1] or noisy(name, marks(m["rest"]), above[2])
+        own = noisy(name, marks(m["rest"]), above[2])
+        by_class = own and (name == "form" or name not in NEVER)
+        own = own and not (by_class and len(out) in spared)
+        noise = above[1] or own
+        here = len(out)
         out.append(Run(name if not noise else "noise " + name, None, name in BLOCK, noise, inside))
         if name == "br":
             out.append(Run("w " + above[0], " ", False, noise, inside))
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
+        which = -1
+        if name in ("article", "main") and not own and not any(x[0] in NEVER and x[0] != "form" and x[1] for x in stack):
+            which = len(articles)
+            articles.append(([here, here], list(marked)))
+        if own and by_class:
+            marked.append(here)
         stack.append((name, noise, inside))
+        opened.append((here, which, own and by_class))
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = stop.start() if stop else end

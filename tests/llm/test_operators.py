@@ -557,6 +557,14 @@ def test_pages(spark):
     assert html_extraction.extract(pages.limit(0)).collect() == []
 
 
+def test_wrappers_of_articles_are_no_noise():
+    weights = dict.fromkeys(("div", "/div", "p", "/p", "h1", "/h1", "article", "/article"), -0.05)
+    body = "<article><div class='entry-header'><h1>Title</h1></div><p>Some words of text.</p><div class='ad'>Buy</div></article>"
+    for wrap in ("div class='page has-sidebar'", "div class='content no-sidebar'", "div class='layout with-footer'", "section class='search-page'", "div class='search results'", "form id=form"):
+        page = f"<body><{wrap}>{body}</{wrap.split()[0]}><div class='related'><article><p>Other</p></article></div></body>"
+        assert html_extraction.main_text(page, weights) == "Title\n\nSome words of text.", wrap
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
