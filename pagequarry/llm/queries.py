@@ -12,14 +12,17 @@ from pagequarry.llm import (
     language_id,
     license_scan,
     mixing,
+    packing,
     pii,
     shingle_join,
     token_counts,
     toxicity,
+    whitening,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +77,16 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(table(spark, folder, "pages"))
 
 
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -85,6 +98,8 @@ QUERIES = {
     "op8_shingle_join": op8_shingle_join,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 OP2_SQL = """
