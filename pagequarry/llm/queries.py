@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import (
+    collocations,
     decontamination,
     embedding_dedup,
     html_extraction,
@@ -77,6 +78,10 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(table(spark, folder, "pages"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_shingle_join": op8_shingle_join,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_collocations": op11_collocations,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -154,4 +160,45 @@ FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source
 JOIN cut c ON c.source IS NOT DISTINCT FROM d.source
 """
 
-SQL = {"op2_mixing": OP2_SQL}
+OP11_SQL = """
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), sized AS (
+    SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM worded
+), grams AS (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k
+), f AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM grams GROUP BY ALL
+), n AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, k, phrase, f AS a FROM f WHERE k >= 2 AND f >= 100
+), free AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 100 * c.a
+        AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+    SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM free
+), scores AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, n.n,
+           ((1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN n ON n.lang = c.lang
+    JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+    JOIN f y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+), lowest AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, n, score
+    FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+SQL = {"op2_mixing": OP2_SQL, "op11_collocations": OP11_SQL}
