@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators.frontier import micros
 from pagequarry.operators.ordered import with_carry
+from pagequarry.operators.tasks import fetched_ok
 
 # The counters a crawl keeps, and the monitor's names for them.
 SUMMARY = {
@@ -19,6 +20,15 @@ SUMMARY = {
 IDLE_SECONDS = 30
 
 
+def fetch_metrics(fetched: DataFrame) -> DataFrame:
+    """One event (``metric``) for each thing a crawl counts about a fetched task (``status``)."""
+    happened = F.when(
+        fetched_ok(F.col("status")),
+        F.array(*[F.lit(m) for m in ("request_started", "request_success", "page_crawled")]),
+    ).otherwise(F.array(F.lit("request_started"), F.lit("request_failed")))
+    return fetched.select(F.explode(happened).alias("metric"))
+
+
 def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("metric").agg(F.count(F.lit(1)).alias("total"))
 

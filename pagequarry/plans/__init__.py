@@ -4,6 +4,7 @@ Every module has ``QUERIES`` (name -> function of session and table folder) and
 """
 
 from pagequarry.plans import (
+    crawl_plans,
     frontier_plans,
     index_plans,
     page_plans,
@@ -21,6 +22,7 @@ _MODULES = (
     index_plans,
     stats_plans,
     stream_plans,
+    crawl_plans,
 )
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.operators.ordered import arrival_sequence
-from pagequarry.operators.tasks import encoded
-from pagequarry.schemas import PAGES
-
-
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages."""
-    return spark.read.schema(PAGES).parquet(path)
+from pagequarry.operators.tasks import dead_letters, encoded, retries
+from pagequarry.sources.batches import BatchLog
 
 
 def stream_table(
@@ -27,31 +22,23 @@ def stream_table(
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """Submissions stored as Parquet with a ``raw`` column, numbered in arrival order."""
-    return arrival_sequence(spark.read.schema("raw STRING").parquet(path))
-
-
-def stream_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """One submission per line of the text files arriving in a folder."""
-    return spark.readStream.text(path).withColumnRenamed("value", "raw")
+    """Submissions stored as Parquet with a ``raw`` column, as one queue partition in arrival order."""
+    rows = arrival_sequence(spark.read.schema("raw STRING").parquet(path), "offset")
+    return rows.select(F.lit(0).alias("partition"), "offset", "raw")
 
 
 def kafka_submissions(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """Submissions from a topic; needs the Kafka connector on the class path. ``seq`` orders the
-    submissions of a topic partition."""
-    rows = spark.readStream.format("kafka").options(**options).load()
-    return rows.select(F.col("offset").alias("seq"), F.col("value").cast("string").alias("raw"))
-
-
-def fifo(submissions: DataFrame, size: int) -> DataFrame:
-    """The oldest ``size`` submissions, oldest first."""
-    return submissions.orderBy("seq").limit(size)
+    """Submissions of a topic so far; needs the Kafka connector on the class path."""
+    rows = spark.read.format("kafka").options(**options).load()
+    return rows.select("partition", "offset", F.col("value").cast("string").alias("raw"))
 
 
-def append_tasks(tasks: DataFrame, path: str) -> None:
-    """Appends tasks in their JSON form (``raw``), as submissions and retries are read."""
-    encoded(tasks, "raw").select("raw").write.mode("append").parquet(path)
+RAW = T.StructType().add("raw", T.StringType())
 
 
-def append_dead_letters(dead: DataFrame, path: str) -> None:
-    dead.select(F.col("payload").alias("raw")).write.mode("append").parquet(path)
+def append_failures(log: BatchLog, batch: int, failed: DataFrame) -> None:
+    """Failed tasks of a batch to the tables ``retries`` (read like submissions) and ``dead_letters``, in
+    their JSON form. Both show the batch at once, when it is committed; a replay adds nothing."""
+    log.write("retries", batch, encoded(retries(failed), "raw").select("raw"))
+    log.write("dead_letters", batch, dead_letters(failed).select(F.col("payload").alias("raw")))
+    log.commit(batch)
