@@ -85,39 +85,41 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray, symbols: bytes, size: int):
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """Bits of every (context of ORDER symbols, symbol) for one language."""
-    full = np.bincount(keys, weights=counts, minlength=size ** (ORDER + 1))
+    full = np.bincount(keys, weights=counts, minlength=size ** (ORDER + 1)).astype(np.float64, copy=False)
     lower = np.full((1, size), 1.0 / size)
     for order in range(ORDER + 1):
         # counts of (context of this order, symbol): sums over the symbols further back
-        seen = full.reshape(-1, size ** (order + 1)).sum(axis=0).reshape(-1, size)
-        below = np.tile(lower, (seen.shape[0] // lower.shape[0], 1))
-        total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-        rest = np.where(seen > 0, 0.0, below)
+        own = full if order == ORDER else full.reshape(-1, size ** (order + 1)).sum(axis=0)
+        own = own.reshape(-1, size)
+        seen = own > 0
+        rest = np.tile(lower, (own.shape[0] // lower.shape[0], 1))
+        rest[seen] = 0.0
+        total, kinds = own.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
         mass = rest.sum(axis=1, keepdims=True)
         escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
         escape = np.where(kinds == size, 0.0, escape)
-        own = seen / np.maximum(total, 1) * (1 - escape)
-        lower = own + np.where(mass > 0, rest / np.where(mass > 0, mass, 1) * escape, 0.0)
-    return -np.log2(lower).ravel().astype(np.float32)
-
-
-_COMPILED: dict[int, np.ndarray] = {}
+        # In place: these are the largest arrays of the operator.
+        own /= np.maximum(total, 1)
+        own *= 1 - escape
+        rest /= np.where(mass > 0, mass, 1)
+        rest *= escape
+        own += rest
+        lower = own
+    np.log2(lower, out=lower)
+    return np.negative(lower, out=lower).ravel().astype(np.float32)
 
 
 def compiled(model: Model) -> np.ndarray:
-    """Table (key, language) of code lengths; built once per Python worker."""
-    key = hash((model.languages, model.symbols, *(c.tobytes() for _, c in model.counts)))
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = np.stack(
-            [code_lengths(k, c, model.size) for k, c in model.counts], axis=1
-        )
-    return _COMPILED[key]
+    """Table (key, language) of code lengths. A task builds its own and lets it go when it ends: kept for
+    the life of a worker, it would take its memory from the stages that follow."""
+    table = np.empty((model.size ** (ORDER + 1), len(model.languages)), np.float32)
+    for k, (keys, counts) in enumerate(model.counts):
+        table[:, k] = code_lengths(keys, counts, model.size)
+    return table
 
 
-def text_bits(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    """Code length of every text under every language."""
-    table = compiled(model)
+def text_bits(data: np.ndarray, offsets: np.ndarray, model: Model, table: np.ndarray) -> np.ndarray:
+    """Code length of every text under every language, by the ``compiled`` table."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     for first, last in steps(offsets, 1 << 20):
         at = offsets[first : last + 1]
@@ -215,6 +217,7 @@ def predicted(text: Column, model: Model | None) -> Column:
 
     @arrow_udf(kind)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = None
         for texts in batches:
             data, offsets = utf8(texts)
             if len(offsets) == 1:
@@ -223,7 +226,9 @@ def predicted(text: Column, model: Model | None) -> Column:
                     ["lang_pred", "score", "bits"],
                 )
                 continue
-            bits = text_bits(data, offsets, model)
+            if table is None:
+                table = compiled(model)
+            bits = text_bits(data, offsets, model, table)
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]
             score = 1.0 / np.exp2(-(bits - least[:, None])).sum(axis=1)
