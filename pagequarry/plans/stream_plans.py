@@ -14,7 +14,7 @@ from pagequarry.functions.text import content_string
 from pagequarry.functions.urls import slug_of
 from pagequarry.operators.tasks import decoded
 from pagequarry.plans import frontier_plans, site_plans
-from pagequarry.plans.common import table
+from pagequarry.plans.common import sql_ngrams, table
 from pagequarry.session import shared_folder
 from pagequarry.sources.store import COPIED, IndexStore, copy_store, parquet_target
 from pagequarry.sources.tables import stream_table
@@ -140,14 +140,21 @@ def stream_slots(spark, folder):
     return read_batches(spark, f"{root}/slots").select("site", "seq", "start_us")
 
 
+def _all_submissions(spark, folder) -> DataFrame:
+    """Submissions of all shapes, most of them unusable, and every page's plain URL."""
+    mixed = site_plans.submissions(spark, folder).select((F.col("seq") * 2).alias("seq"), "raw")
+    plain = table(spark, folder, "pages").select((F.col("page_id") * 2 + 1).alias("seq"), F.col("url").alias("raw"))
+    return mixed.unionByName(plain)
+
+
 def _indexed_store(spark, folder) -> IndexStore:
     root = _fresh_folder(spark)
-    stream, later = _arrivals(spark, root, site_plans.submissions(spark, folder), "seq")
+    stream, later = _arrivals(spark, root, _all_submissions(spark, folder), "seq")
     store = IndexStore(spark, f"{root}/index", buckets=4)
     writer = jobs.index_submissions(
         stream,
         site_plans.host_registry(spark, folder),
-        jobs.fetch_from(table(spark, folder, "pages").groupBy("url").agg(F.max("html").alias("html"))),
+        jobs.fetch_from(table(spark, folder, "pages"), "page_id"),
         store,
         lambda number: F.lit(site_plans.NOW).cast("timestamp_ntz"),
     )
@@ -167,6 +174,11 @@ def stream_index_postings(spark, folder):
     return rows.select("url", "term", "frequency")
 
 
+def stream_index_ngrams(spark, folder):
+    """N-grams of the store's terms, after several batches."""
+    return _indexed_store(spark, folder).ngrams()
+
+
 def store_copy(spark, folder):
     """Documents as they arrive in a copied store."""
     write, read_back = parquet_target(spark, _fresh_folder(spark))
@@ -189,11 +201,12 @@ QUERIES = {
     "stream_slots": stream_slots,
     "stream_index": stream_index,
     "stream_index_postings": stream_index_postings,
+    "stream_index_ngrams": stream_index_ngrams,
     "store_copy": store_copy,
 }
 
-_INDEXED = f"""WITH {site_plans._REG}, s AS (SELECT DISTINCT url FROM pages WHERE length(html) % 9 IN (0, 1, 8)),
-p AS (SELECT url, max(html) AS html FROM pages GROUP BY url),
+_INDEXED = f"""WITH {site_plans._REG}, s AS (SELECT DISTINCT url FROM pages),
+p AS (SELECT url, arg_max(html, page_id) AS html FROM pages GROUP BY url),
 f AS (SELECT url, regexp_extract({site_plans._ORIGIN}, '//(.*)', 1) AS source,
     trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS novel_name,
     trim(regexp_replace(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS description,
@@ -219,6 +232,9 @@ SELECT site, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(
     "stream_index_postings": _INDEXED
     + f""" SELECT url, term, count(*) AS frequency
 FROM (SELECT url, unnest({index_plans.sql_tokens('content')}) AS term FROM d) GROUP BY ALL""",
+    "stream_index_ngrams": _INDEXED
+    + f""", terms AS (SELECT DISTINCT unnest({index_plans.sql_tokens('content')}) AS term FROM d)
+SELECT DISTINCT unnest({sql_ngrams('term')}) AS ngram, term FROM terms""",
     "store_copy": f"""WITH {index_plans._STORED}, {index_plans._POSTED}
 SELECT doc_id, url, novel_name, description, source, doc_length, '2024-01-01' AS last_crawled_at, content_hash,
   (SELECT count(*) FROM posted) AS copied_postings FROM st""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagequarry.operators import frontier, index_build, tasks
+from pagequarry.operators.ordered import first_rows
 from pagequarry.operators.visited import KEYS
 from pagequarry.sources.store import IndexStore
 from pagequarry.streaming.runner import batch_folder, per_batch, write_batch
@@ -80,11 +81,14 @@ def reserve_slots(requests: DataFrame, slots_root: str, state_root: str) -> Data
     return per_batch(requests, reserve)
 
 
-def fetch_from(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Fetching as a join with a table of pages, whatever the size of the batch."""
+def fetch_from(pages: DataFrame, newest: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Fetching as a join with a table of pages, whatever the size of the batch. Of several pages of a URL
+    the one with the largest ``newest`` counts. Pages of other URLs drop out before any HTML moves."""
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        return pages.select("url", "html").join(wanted, "url")
+        asked = pages.join(wanted.select("url").distinct(), "url", "left_semi")
+        found = first_rows(asked, ["url"], [F.desc(newest)]) if newest else asked
+        return found.select("url", "html").join(wanted, "url")
 
     return fetch
 
