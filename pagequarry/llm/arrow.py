@@ -43,3 +43,17 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         last = min(max(last, first + 1), rows)
         yield first, last
         first = last
+
+
+def slices(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``limit`` bytes in the text ``columns``, or of one row, so that what
+    is made of a part does not depend on how many long texts a batch has."""
+    for batch in batches:
+        offsets = np.zeros(batch.num_rows + 1, np.int64)
+        for name in columns:
+            sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+            offsets[1:] += np.cumsum(sizes)
+        for first, last in steps(offsets, limit):
+            yield batch.slice(first, last - first)
+        # The worker lives on for other stages; what Arrow keeps for itself goes back.
+        pa.default_memory_pool().release_unused()

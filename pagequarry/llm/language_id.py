@@ -240,6 +240,7 @@ def predicted(text: Column, model: Model | None) -> Column:
                 ],
                 ["lang_pred", "score", "bits"],
             )
+            pa.default_memory_pool().release_unused()
 
     none = F.struct(
         F.lit(UNKNOWN).alias("lang_pred"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.arrow import utf8
+from pagequarry.llm.arrow import slices, utf8
 from pagequarry.llm.components import components
 from pagequarry.llm.shingles import scrambled, set_key, shingle_sets
 from pagequarry.session import pinned
@@ -97,7 +97,7 @@ def described(docs: DataFrame) -> DataFrame:
     and rows (shingle, seen) for shingles that a task saw in several sets."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ["text"]):
             rows = batch.num_rows
             if not rows:
                 continue
@@ -181,7 +181,7 @@ def prefix_entries(texts: DataFrame, frequent, groups: int) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ["text"]):
             done: set[int] = set()
             shingles, keys, sizes, places, heavy = [], [], [], [], []
             for _, found in shingle_sets(*utf8(batch.column("text"))):
@@ -294,7 +294,7 @@ def candidate_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
     words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().astype(np.int64).view(np.uint64)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ["text"]):
             column = batch.column("text")
             rows: dict[int, int] = {}
             sizes, bits = [], []
@@ -373,7 +373,7 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
                 prefixes[key] = [frozenset(p) for p in made]
             return prefixes[key]
 
-        for batch in batches:
+        for batch in slices(batches, ["left_text", "right_text"]):
             keep = np.zeros(batch.num_rows, bool)
             firsts, seconds = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             # Every class has words, so both sides give each row in turn.
