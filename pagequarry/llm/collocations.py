@@ -11,9 +11,10 @@ A level only counts where both phrases inside, without the last and without the
 themselves, as all others cannot be. That is asked of a bit map of frequent phrases, of at most
 ``MOST_BITS`` bits; what it lets through wrongly is counted and then found too rare.
 
-Hot prefixes: a stripe is split into segments by a hash of the next word (``SEGMENTS`` by level; the
-empty prefix has most), rows of one segment are sorted together by Spark and merged while they stream
-past, so a task holds one segment. Rows of a stripe have at most ``ROW_ENTRIES`` entries.
+Hot prefixes: the stripe of the empty prefix, and those of prefixes that have more than one in ``SHARE``
+of all words (there are at most so many), are split into segments by a hash of the next word. Rows of one
+segment are sorted together by Spark and merged while they stream past, so a task holds one segment. Rows
+of a stripe have at most ``ROW_ENTRIES`` entries, their next words end to end.
 
 Defined cases: a null text is empty; a null language counts as ``und``, together with texts marked so;
 texts without words add nothing; repeated rows count again; ids are not read and may be null; ties are
@@ -40,8 +41,8 @@ from pagequarry.session import pinned
 #: Least frequency of a phrase, most words of one, and phrases returned of each language.
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 UNKNOWN = "und"
-#: Segments of a stripe by the number of words of its prefix; more words: the last number.
-SEGMENTS = (1024, 32, 8)
+#: Segments of the empty prefix and of other hot ones, and the share that makes a prefix hot.
+EMPTY_SEGMENTS, HOT_SEGMENTS, SHARE = 1024, 64, 10_000
 ROW_ENTRIES = 256
 #: Bytes of text one step counts.
 STEP_BYTES = 8 << 20
@@ -50,7 +51,7 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Parts of a language ranked apart before the last ranking.
 RANK_PARTS = 64
 
-STRIPES = "lang string, prefix string, segment int, next array<string>, count array<long>"
+STRIPES = "lang string, prefix string, segment int, next string, count array<int>"
 MERGED = "lang string, prefix string, next array<string>, count array<long>, hash array<long>, total long"
 
 _BREAKS = np.zeros(256, bool)
@@ -159,8 +160,8 @@ class Words:
             whole &= known[:last] & known[1 : last + 1]
         return np.flatnonzero(whole)
 
-    def stripes(self, size: int, frequent: Frequent | None, segments: int) -> pa.RecordBatch | None:
-        """Stripes of the prefixes of ``size`` - 1 words."""
+    def stripes(self, size: int, frequent: Frequent | None, hot: np.ndarray) -> pa.RecordBatch | None:
+        """Stripes of the prefixes of ``size`` - 1 words; ``hot`` are the hashes of the hot ones, sorted."""
         at = self.places(size, frequent)
         if not len(at):
             return None
@@ -173,6 +174,10 @@ class Words:
         )
         prefix, at = prefix[where], at[where]
         following = self.word[at + size - 1]
+        if size == 1:
+            segments = np.full(len(at), EMPTY_SEGMENTS)
+        else:
+            segments = np.where(np.isin(self.hashes(size - 1)[at], hot), HOT_SEGMENTS, 1)
         segment = (self.word_hash[at + size - 1] >> np.uint64(11)).astype(np.int64) % segments
         order = np.lexsort((segment, prefix))
         prefix, at, following, segment, count = (x[order] for x in (prefix, at, following, segment, count))
@@ -189,16 +194,25 @@ class Words:
                 self.langs.take(pa.array(self.lang[first])).cast(pa.string()),
                 joined,
                 pa.array(segment[begin], pa.int32()),
-                pa.ListArray.from_arrays(bounds, self.words.take(pa.array(following)).cast(pa.string())),
-                pa.ListArray.from_arrays(bounds, pa.array(count, pa.int64())),
+                pc.binary_join(
+                    pa.ListArray.from_arrays(bounds, self.words.take(pa.array(following)).cast(pa.string())), " "
+                ),
+                pa.ListArray.from_arrays(bounds, pa.array(count, pa.int32())),
             ],
             ["lang", "prefix", "segment", "next", "count"],
         )
 
 
-def stripes(texts: DataFrame, size: int, frequent: Broadcast | None) -> DataFrame:
+def hot_prefixes(level: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the phrases of merged stripes that have more than one in ``SHARE`` of all words: at most
+    ``SHARE`` phrases of one length can."""
+    each = level.select(F.explode(F.arrays_zip("count", "hash")).alias("entry"))
+    rows = each.where(F.col("entry.count") > words // SHARE).select("entry.hash").collect()
+    return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
+
+
+def stripes(texts: DataFrame, size: int, frequent: Broadcast | None, hot: np.ndarray) -> DataFrame:
     """Stripes of ``texts`` (lang, text) for phrases of ``size`` words, one part for each step."""
-    segments = SEGMENTS[min(size, len(SEGMENTS)) - 1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Frequent(frequent) if frequent else None
@@ -208,7 +222,7 @@ def stripes(texts: DataFrame, size: int, frequent: Broadcast | None) -> DataFram
             for first, last in steps(offsets, STEP_BYTES):
                 at = offsets[first : last + 1]
                 words = Words(raw[at[0] : at[-1]], at - at[0], langs.slice(first, last - first))
-                found = words.stripes(size, known, segments)
+                found = words.stripes(size, known, hot)
                 if found is not None:
                     yield from pa.Table.from_batches([found]).to_batches(max_chunksize=10_000)
 
@@ -228,11 +242,10 @@ def merged_rows(table: pa.Table, least: int) -> tuple[pa.RecordBatch, pa.Table]:
     for key in keys:
         new[1:] |= pc.not_equal(key.slice(1), key.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
     begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-    following, counts = (table.column(c).combine_chunks() for c in ("next", "count"))
-    sizes = pc.list_value_length(following).to_numpy()
-    entries = pa.table(
-        {"group": np.repeat(group, sizes), "next": following.flatten(), "count": counts.flatten()}
-    )
+    counts = table.column("count").combine_chunks()
+    following = pc.split_pattern(table.column("next").combine_chunks(), " ").flatten()
+    sizes = pc.list_value_length(counts).to_numpy()
+    entries = pa.table({"group": np.repeat(group, sizes), "next": following, "count": counts.flatten()})
     merged = entries.group_by(["group", "next"]).aggregate([("count", "sum")]).sort_by("group")
     group, count = (merged.column(c).to_numpy() for c in ("group", "count_sum"))
     last = len(begin) - 1
@@ -241,7 +254,7 @@ def merged_rows(table: pa.Table, least: int) -> tuple[pa.RecordBatch, pa.Table]:
     carried = pa.table(
         {
             **{name: key.slice(begin[last], 1) for name, key in zip(("lang", "prefix", "segment"), keys, strict=True)},
-            "next": pa.array([tail.column("next").to_pylist()], pa.list_(pa.string())),
+            "next": pa.array([" ".join(tail.column("next").to_pylist())]),
             "count": pa.array([tail.column("count_sum").to_pylist()], pa.list_(pa.int64())),
         }
     )
@@ -290,7 +303,7 @@ def merged(parts: DataFrame, least: int, totals: bool) -> DataFrame:
             ("lang", pa.string()),
             ("prefix", pa.string()),
             ("segment", pa.int32()),
-            ("next", pa.list_(pa.string())),
+            ("next", pa.string()),
             ("count", pa.list_(pa.int64())),
         ]
     )
@@ -307,7 +320,7 @@ def merged(parts: DataFrame, least: int, totals: bool) -> DataFrame:
         if len(carried):
             # A row that differs closes the last stripe.
             end = pa.table(
-                {"lang": [""], "prefix": [""], "segment": [-1], "next": [[]], "count": [[]]}, schema=schema
+                {"lang": [""], "prefix": [""], "segment": [-1], "next": [""], "count": [[0]]}, schema=schema
             )
             yield merged_rows(pa.concat_tables([carried.cast(schema), end]), least)[0]
 
@@ -320,10 +333,11 @@ def merged(parts: DataFrame, least: int, totals: bool) -> DataFrame:
 
 def levels(texts: DataFrame, least: int, most_words: int) -> list[DataFrame]:
     """Merged stripes of phrases of 1, 2, ... words, each pinned."""
-    out: list[DataFrame] = []
-    for size in range(1, most_words + 1):
-        frequent = frequent_map(out[-1]) if out else None
-        out.append(pinned(merged(stripes(texts, size, frequent), least, totals=size == 1)))
+    out = [pinned(merged(stripes(texts, 1, None, np.zeros(0, np.uint64)), least, totals=True))]
+    words = out[0].agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    for size in range(2, most_words + 1):
+        parts = stripes(texts, size, frequent_map(out[-1]), hot_prefixes(out[-1], words))
+        out.append(pinned(merged(parts, least, totals=False)))
     return out
 
 
