@@ -21,7 +21,9 @@ number among those of its length (numbered inside the tasks that cut the texts,
 tasks) gives its sequence and offset by arithmetic. No sequence is ever gathered anywhere.
 
 Tokens come from the library, which is asked once for each distinct word of a step: the tokenizer drops
-blanks and no token crosses one, so a text's ids are those of its words end to end.
+blanks and no token crosses one, so a text's ids are those of its words end to end. Plain words (ASCII
+and Latin-1 letters, digits, signs) are cut into runs here, as its rules say, and only new runs go to the
+library's model; all other words go through the whole library.
 
 Defined cases: a null, empty or blank text is one piece of the single id 0; rows with a null or repeated
 id are packed like others; an empty table gives an empty result; other columns are not read.
@@ -30,7 +32,9 @@ id are packed like others; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +55,17 @@ GROUPS = 64
 #: Configurations tried beyond the first ones; any number gives a valid plan.
 MOST_COLUMNS = 1_000
 #: Words whose ids a task remembers, and the longest word it does so for.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+
+#: Words whose normal form is their lower case and whose runs need no Unicode tables: no apostrophe
+#: (contractions), and nothing that may begin a special token.
+_PLAIN = re.compile(r"(?:[!-&(-;=-~À-ÖØ-öø-ÿ]|<(?!\|))+")
+_RUNS = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+#: The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the
+#: next one from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+_BYTE_LEVEL = str.maketrans({b: chr(256 + k) for k, b in enumerate(_HIDDEN)})
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, number long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -70,15 +84,39 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"\n": b""}
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, from those of their runs. A line feed, which no word has, parts them."""
+        runs = _RUNS.findall("\n".join(words).lower())
+        new = list(dict.fromkeys(r for r in runs if r not in self.runs))
+        shown = "\n".join(new).encode().decode("latin-1").translate(_BYTE_LEVEL).split(_BYTE_LEVEL[10])
+        for run, text in zip(new, shown if new else [], strict=True):
+            self.runs[run] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        out, word = [], []
+        for run in runs:
+            if run == "\n":
+                out.append(b"".join(word))
+                word = []
+            else:
+                word.append(self.runs[run])
+        return [*out, b"".join(word)] if words else []
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
+        """32-bit ids of each word."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = [w for w in words if w not in self.known]
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
+        if len(self.runs) > CACHE_WORDS:
+            self.runs = {"\n": b""}
+        plain, odd = [], []
+        for word in words:
+            if word not in self.known:
+                (plain if _PLAIN.fullmatch(word) else odd).append(word)
+        fresh = dict(zip(plain, self.plain(plain), strict=True))
+        found = self.library.encode_batch_fast(odd, add_special_tokens=False)
+        fresh.update((w, array("I", e.ids).tobytes()) for w, e in zip(odd, found, strict=True))
         ids = [self.known[w] if w in self.known else fresh[w] for w in words]
         self.known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_LENGTH)
         return ids
@@ -103,7 +141,7 @@ def token_ids(raw: np.ndarray, offsets: np.ndarray, tokens: WordTokens) -> tuple
     """Ids of all texts end to end, and where each text's ids begin (with the total at the end)."""
     words, first = words_of(raw, offsets)
     encoded = tokens.encode(words.dictionary.to_pylist())
-    ids = np.frombuffer(b"".join(encoded), "<u4")
+    ids = np.frombuffer(b"".join(encoded), np.uint32)
     sizes = np.array([len(e) // 4 for e in encoded], np.int64)
     places = np.cumsum(sizes) - sizes
     which = words.indices.to_numpy()

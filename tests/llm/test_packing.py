@@ -85,12 +85,25 @@ def test_pack_table(spark):
     assert len(used) <= 1.02 * sum(used.values()) / 2048 + 1
 
 
-def test_words_with_odd_characters():
+@pytest.mark.parametrize(
+    "parts",
+    [
+        [*" \t\n\r\x0b\x0c\x85\xa0eE'sΣς1٣字İ.!\x00ﬁ가̣́　﻿", "<|endoftext|>", "<|", "👍🏽"],
+        [*" aBz09ÀéßÿØ×÷ªµ²<|>.,-_~'[]", "<|endoftext|>", "<|startoftext|>", "the", "THE", "é"],
+    ],
+)
+def test_words_with_odd_characters(parts):
     rng = random.Random(2)
     library, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
-    parts = [*" \t\n\r\x0b\x0c\x85\xa0eE'sΣς1٣字İ.!\x00ﬁ가̣́　﻿", "<|endoftext|>", "<|", "👍🏽"]
-    for _ in range(2_000):
+    for _ in range(3_000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         raw = np.frombuffer(text.encode(), np.uint8)
         ids, _ = packing.token_ids(raw, np.array([0, len(raw)]), tokens)
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_byte_of_a_plain_run_is_known():
+    library, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    for code in [*range(33, 127), *range(192, 256)]:
+        for text in (chr(code), f"ab{chr(code)}cd", chr(code) * 3):
+            assert np.frombuffer(tokens.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
