@@ -7,11 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text one numpy step works on; a longer single text is one step of its own.
 STEP_BYTES = 4 << 20
 
+#: Bytes of the batches that Spark hands to a Python worker, a single longer row aside.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes as well as by rows: ten thousand long texts in one batch
+    would stand in the memory of the JVM and of the worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (case aside)."""

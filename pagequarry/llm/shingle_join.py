@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.arrow import slices, utf8
+from pagequarry.llm.arrow import bounded_batches, slices, utf8
 from pagequarry.llm.components import components
 from pagequarry.llm.shingles import scrambled, set_key, shingle_sets
 from pagequarry.session import pinned
@@ -40,7 +40,7 @@ SEEN_OFTEN = 2
 #: right result; frequencies only keep the lists short.
 MOST_FREQUENT = 262_144
 #: Prefix shingles one group of the shuffle holds on average.
-GROUP_SHINGLES = 1_000_000
+GROUP_SHINGLES = 400_000
 #: Places in a prefix are kept in two bytes; a later one counts as this, which only weakens a filter.
 LAST_PLACE = 65_535
 #: Prefix shingles kept while pairs are tested.
@@ -481,6 +481,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     should be unique, and a row without id has no component. Sets are compared by 64-bit hashes of
     their shingles.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = pinned(described(d))
     rows = seen.where("shingle is null").select("doc_id", "key", "n")
