@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html as _entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,20 +30,27 @@ VOID = frozenset(
 # Elements whose own text is not page text.
 SILENT = frozenset(("script", "style", "template", "rt", "rp"))
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+_OPENING = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
+# A tag without "<" in it: tried first, as it never looks past the next "<".
+_PLAIN = re.compile(
+    r"<(/?)([A-Za-z][^\s/>\"'<]*+)(?=[\s/>])((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
 )
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_SPECIAL = re.compile(r"[>\"']|\Z")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _STEP = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)(?::nth-of-type\((\d+)\))?\Z")
 
 
 def _attributes(source: str) -> dict[str, str]:
-    found = {}
+    found: dict[str, str] = {}
+    if not source:
+        return found
     for name, value in _ATTRIBUTE.findall(source):
         found[name.lower()] = _entities.unescape(value.strip("\"'") if value[:1] in "\"'" else value)
     return found
 
 
+@lru_cache(maxsize=10_000)
 def _compiled(selector: str | None):
     """Descendant steps ``tag``, ``.class``, ``#id``, ``:nth-of-type(n)``; none if unsupported."""
     steps = []
@@ -66,17 +75,62 @@ def _fits(step, node) -> bool:
     return not ids or attributes.get("id") in ids
 
 
-def _selected(steps, stack) -> bool:
-    """True if the innermost open element matches the last step, its ancestors the others."""
-    if not _fits(steps[-1], stack[-1]):
-        return False
-    wanted = len(steps) - 2
-    for node in reversed(stack[:-1]):
-        if wanted < 0:
-            break
-        if _fits(steps[wanted], node):
-            wanted -= 1
-    return wanted < 0
+class _Ahead:
+    """The next match of a pattern from rising places, without searching the same stretch twice."""
+
+    def __init__(self, pattern: re.Pattern, source: str):
+        self.pattern, self.source, self.start, self.found = pattern, source, 0, -1
+
+    def __call__(self, place: int) -> int:
+        if not self.start <= place <= self.found:
+            self.start, self.found = place, self.pattern.search(self.source, place).start()
+        return self.found
+
+
+def _markup(source: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing?, name, attributes) of tags, name None for comments and declarations.
+
+    A tag ends at the first ``>`` outside quotes; what never ends is text. Time is linear: a quote from
+    which no end was found is not followed a second time. A consumer that has passed over some text
+    sends the place to go on from.
+    """
+    size, last = len(source), source.rfind(">")
+    name_end, special = _Ahead(_NAME_END, source), _Ahead(_SPECIAL, source)
+    dead: set[int] = set()
+    place = 0
+    while match := _OPENING.search(source, place):
+        start, place = match.start(), match.end()
+        kind = source[start + 1]
+        if kind in "!?":
+            if source.startswith("!--", start + 1):
+                end = source.find("-->", place)
+                place = end + 3 if end >= 0 else size
+            elif start < last:
+                place = source.index(">", start) + 1
+            else:
+                continue
+            place = (yield start, place, False, None, "") or place
+            continue
+        if start > last:
+            continue
+        if plain := _PLAIN.match(source, start):
+            place = plain.end()
+            slash, name, rest = plain.groups()
+            place = (yield start, place, slash == "/", name.lower(), rest) or place
+            continue
+        closing = kind == "/"
+        first = start + 1 + closing
+        begin = name_end(first)
+        at, quotes = special(begin), []
+        while at < size and source[at] != ">" and at not in dead:
+            quotes.append(at)
+            close = source.find(source[at], at + 1)
+            at = _SPECIAL.search(source, close + 1).start() if close >= 0 else size
+        if at < size and source[at] == ">":
+            place = at + 1
+            place = (yield start, place, closing, source[first:begin].lower(), source[begin:at]) or place
+        else:
+            dead.update(quotes)
 
 
 def page_fields(source, title, description, image, image_attr) -> tuple[str, str, str]:
@@ -84,7 +138,9 @@ def page_fields(source, title, description, image, image_attr) -> tuple[str, str
     selectors = [_compiled(title), _compiled(description), _compiled(image)]
     results: list[str | None] = [None if steps else "" for steps in selectors]
     captures: list[tuple[int, int, list[str], str]] = []  # field, depth, texts, own tag
-    stack: list[tuple[str, dict, int]] = []
+    # Name, innermost silent element, and of each selector how many leading steps the path has met.
+    stack: list[tuple[str, str | None, tuple[int, ...]]] = []
+    opened: Counter[str] = Counter()
     siblings: list[dict[str, int]] = [{}]
     text: list[str] = []
 
@@ -92,12 +148,13 @@ def page_fields(source, title, description, image, image_attr) -> tuple[str, str
         run = _entities.unescape("".join(text)).strip()
         text.clear()
         if run:
-            silent = next((n[0] for n in reversed(stack) if n[0] in SILENT), None)
+            silent = stack[-1][1] if stack else None
             for _, _, texts, own in captures:
                 if silent == (own if own in SILENT else None):
                     texts.append(run)
 
     def close_to(depth):
+        opened.subtract(node[0] for node in stack[depth:])
         del stack[depth:]
         del siblings[depth + 1 :]
         for capture in [c for c in captures if c[1] > depth]:
@@ -105,43 +162,60 @@ def page_fields(source, title, description, image, image_attr) -> tuple[str, str
             captures.remove(capture)
 
     source = source or ""
-    place = 0
+    place, moved = 0, None
+    tags = _markup(source)
     while any(found is None for found in results):
-        match = _MARKUP.search(source, place)
+        try:
+            start, end, closing, name, rest = tags.send(moved)
+        except StopIteration:
+            start = end = len(source)
+            closing, name, rest = False, None, ""
+        moved = None
         if captures:
-            text.append(source[place : match.start() if match else len(source)])
+            text.append(source[place:start])
         end_text()
-        if match is None:
+        place = end
+        if start == len(source):
             break
-        place = match.end()
-        closing, name, rest = match.groups()
         if name is None:
             continue
-        name = name.lower()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    close_to(depth)
-                    break
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                close_to(depth)
             continue
         position = siblings[-1][name] = siblings[-1].get(name, 0) + 1
-        stack.append((name, _attributes(rest), position))
+        attributes = _attributes(rest)
+        node = (name, attributes, position)
+        met = stack[-1][2] if stack else (0,) * len(selectors)
+        fits = [
+            bool(steps) and _fits(steps[min(done, len(steps) - 1)], node)
+            for steps, done in zip(selectors, met)
+        ]
+        silent = name if name in SILENT else stack[-1][1] if stack else None
+        now = tuple(
+            done + (fit and done < len(steps) - 1) for steps, done, fit in zip(selectors, met, fits)
+        )
+        stack.append((name, silent, now))
+        opened[name] += 1
         siblings.append({})
         for field, steps in enumerate(selectors):
             waiting = results[field] is None and all(c[0] != field for c in captures)
-            if waiting and _selected(steps, stack):
+            if waiting and fits[field] and met[field] == len(steps) - 1:
                 if field == 2:
-                    results[2] = stack[-1][1].get(image_attr or "src", "")
+                    results[2] = attributes.get(image_attr or "src", "")
                 else:
                     captures.append((field, len(stack), [], name))
         if name in VOID or rest.rstrip().endswith("/"):
             close_to(len(stack) - 1)
         elif name in ("script", "style"):
-            end = re.compile(r"</" + name + r"\s*>", re.I).search(source, place)
-            body_end = end.start() if end else len(source)
+            body = re.compile(r"</" + name + r"\s*>", re.I).search(source, place)
+            body_end = body.start() if body else len(source)
             if captures:
                 text.append(source[place:body_end])
-            place = body_end
+            place = moved = body_end
     close_to(0)
     return tuple(found or "" for found in results)
 

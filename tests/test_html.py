@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,36 @@ def test_text_of_first_match(html, selector, expected):
     assert _title(html, selector) == expected
 
 
+@pytest.mark.parametrize(
+    ("html", "selector", "expected"),
+    [
+        ("<a x\"y <h1>t</h1>", "h1", "t"),
+        ("<h1>a<!b</h1>", "h1", "a"),
+        ("<h1>a <b <!-- c", "h1", "a <b"),
+        ("<div class=a><div><div class=b>x</div></div></div>", ".a div .b", "x"),
+        ("<div class=a></div><div class=b><p>x</p></div>", ".a p", ""),
+        ("<template><p>x</p></template><p>y</p>", "p", ""),
+        ("", "h1", ""),
+        (None, "h1", ""),
+    ],
+)
+def test_broken_markup(html, selector, expected):
+    assert _title(html, selector) == expected
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["'<a x\"y '", "<a x\"y ", "<b>", "<a", "<!", "<a '", "</i>", "<i></b>"],
+)
+def test_time_grows_with_the_page(piece):
+    def seconds(n):
+        began = time.process_time()
+        page_fields(piece * n + "\">" + "<b>" * n + "</i>" * n, "x b i", ".q", "i b img", "src")
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * seconds(10_000) + 0.5
+
+
 def test_image_attribute():
     html = '<div class="book"><img data-src="b.png" src="a.png?x=1&amp;y=2"></div>'
     assert page_fields(html, None, None, ".book img", "src") == ("", "", "a.png?x=1&y=2")
