@@ -190,14 +190,17 @@ def page_fields(source, title, description, image, image_attr) -> tuple[str, str
         attributes = _attributes(rest)
         node = (name, attributes, position)
         met = stack[-1][2] if stack else (0,) * len(selectors)
+        # A field that is found needs no more matching.
         fits = [
-            bool(steps) and _fits(steps[min(done, len(steps) - 1)], node)
-            for steps, done in zip(selectors, met)
+            result is None and _fits(steps[min(done, len(steps) - 1)], node)
+            for steps, done, result in zip(selectors, met, results)
         ]
         silent = name if name in SILENT else stack[-1][1] if stack else None
-        now = tuple(
-            done + (fit and done < len(steps) - 1) for steps, done, fit in zip(selectors, met, fits)
-        )
+        now = met
+        if any(fits):
+            now = tuple(
+                done + (fit and done < len(steps) - 1) for steps, done, fit in zip(selectors, met, fits)
+            )
         stack.append((name, silent, now))
         opened[name] += 1
         siblings.append({})
