@@ -138,6 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
         .agg((F.max(label) > 0).cast("int").alias("_toxic"))
     )
+    # Only ids move here; a label without document would count as an empty text.
+    own = pinned(own.join(docs.select(F.col(doc_id).cast("long").alias("_id")), "_id", "left_semi"))
     total = own.count()
     share = int((1 << 20) * min(1.0, SAMPLE / max(1, total)))
     chosen = pinned(own.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share))
