@@ -113,8 +113,9 @@ def with_actions(pages: DataFrame, documents: DataFrame) -> DataFrame:
     return pages.join(stored, "url", "left").withColumn("action", action).drop("_old")
 
 
-def with_new_ids(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ids above the highest stored one for rows without: dense, and the same in every run.
+def with_new_ids(rows: DataFrame, documents: DataFrame | int) -> DataFrame:
+    """Ids above the highest stored one (read from the documents, or given) for rows without: dense, and
+    the same in every run.
 
     Rows are numbered inside 4,096 buckets by URL hash; a table with one row per bucket gives each
     bucket's first number.
@@ -123,7 +124,10 @@ def with_new_ids(rows: DataFrame, documents: DataFrame) -> DataFrame:
     sizes = buckets.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    highest = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("_highest"))
+    if isinstance(documents, int):
+        highest = rows.sparkSession.range(1).select(F.lit(documents).alias("_highest"))
+    else:
+        highest = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("_highest"))
     inside = Window.partitionBy("_bucket").orderBy("url")
     number = F.col("_highest") + F.col("_before") + F.row_number().over(inside)
     # 4,096 rows and one row.
@@ -148,8 +152,9 @@ def batch_changes(documents: DataFrame, pages: DataFrame, now: Column) -> DataFr
     return changes_from(pinned(acted_pages(pages, documents)), documents, now)
 
 
-def changes_from(acted: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
-    """Document rows from :func:`acted_pages` that lie on storage."""
+def changes_from(acted: DataFrame, documents: DataFrame | int, now: Column) -> DataFrame:
+    """Document rows from :func:`acted_pages` that lie on storage; of the documents only the highest id
+    counts, which may be given instead."""
     fresh = with_new_ids(acted.where("action = 'new'").drop("doc_id"), documents)
     rows = acted.where("action <> 'new'").unionByName(fresh)
     return rows.select(

@@ -179,6 +179,17 @@ def stream_index_ngrams(spark, folder):
     return _indexed_store(spark, folder).ngrams()
 
 
+def store_compact(spark, folder):
+    """Documents with their number of postings, after crowded buckets and then all segments were folded."""
+    store = _indexed_store(spark, folder)
+    last = store.batches()[-1]
+    store.fold(last + 1)
+    store.compact(last + 2)
+    counts = store.postings().groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"))
+    rows = store.documents().join(counts, "doc_id")
+    return rows.select("url", "novel_name", F.col("doc_length").cast("long").alias("doc_length"), "terms", "content_hash")
+
+
 def store_copy(spark, folder):
     """Documents as they arrive in a copied store."""
     write, read_back = parquet_target(spark, _fresh_folder(spark))
@@ -202,6 +213,7 @@ QUERIES = {
     "stream_index": stream_index,
     "stream_index_postings": stream_index_postings,
     "stream_index_ngrams": stream_index_ngrams,
+    "store_compact": store_compact,
     "store_copy": store_copy,
 }
 
@@ -235,6 +247,9 @@ FROM (SELECT url, unnest({index_plans.sql_tokens('content')}) AS term FROM d) GR
     "stream_index_ngrams": _INDEXED
     + f""", terms AS (SELECT DISTINCT unnest({index_plans.sql_tokens('content')}) AS term FROM d)
 SELECT DISTINCT unnest({sql_ngrams('term')}) AS ngram, term FROM terms""",
+    "store_compact": _INDEXED
+    + f""" SELECT url, novel_name, len({index_plans.sql_tokens('content')}) AS doc_length,
+  len(list_distinct({index_plans.sql_tokens('content')})) AS terms, sha256(content) AS content_hash FROM d""",
     "store_copy": f"""WITH {index_plans._STORED}, {index_plans._POSTED}
 SELECT doc_id, url, novel_name, description, source, doc_length, '2024-01-01' AS last_crawled_at, content_hash,
   (SELECT count(*) FROM posted) AS copied_postings FROM st""",

@@ -75,6 +75,53 @@ def test_store_batches_replay_and_compaction(spark, tmp_path):
     assert [_sorted(t) for t in (store.documents(), store.postings(), store.ngrams())] == before
 
 
+def test_buckets_folded_one_by_one(spark, tmp_path):
+    store = stores.IndexStore(spark, str(tmp_path / "index"), buckets=64)
+    assert store.fold(0) == []
+    store.apply(0, _pages(spark, FIRST), _now(DAYS[0]))
+    store.apply(1, _pages(spark, SECOND), _now(DAYS[1]))
+    place = {u: stores.literal_bucket(u, 64) for u in ("h/1", "h/2", "h/3", "h/9")}
+    assert len(set(place.values())) == 4
+    assert store.segments() == {
+        place["h/1"]: [0, 1], place["h/2"]: [0, 1], place["h/3"]: [0], place["h/9"]: [1]
+    }
+    before = [_sorted(t) for t in (store.documents(), store.postings(), store.ngrams())]
+    # Only the buckets in two segments are folded; a second run finds none.
+    assert store.fold(2) == sorted([place["h/1"], place["h/2"]])
+    assert store.fold(3) == [] and store.segments()[place["h/1"]] == [2]
+    assert [_sorted(t) for t in (store.documents(), store.postings(), store.ngrams())] == before
+    # After folding, ids go on, and unchanged pages stay with their postings.
+    store.apply(3, _pages(spark, [("h/1", "one two", "a"), ("h/4", "next", "a")]), _now(DAYS[2]))
+    docs = {r["url"]: r for r in store.documents().collect()}
+    assert (docs["h/4"]["doc_id"], docs["h/1"]["last_crawled_at"]) == (5, DAYS[2])
+    assert store.postings(["one"]).count() == 1
+    store.compact(4)
+    assert store.batches() == [4] and store.documents().count() == 5
+
+
+def test_batch_reads_only_its_own_buckets(spark, tmp_path):
+    store = stores.IndexStore(spark, str(tmp_path / "index"), buckets=64)
+    store.apply(0, _pages(spark, [(f"h/{i}", f"word{i}", "a") for i in range(200)]), _now(DAYS[0]))
+    touched = [stores.literal_bucket("h/7", 64)]
+    read = store.versions(buckets=touched)
+    assert read.where("url = 'h/7'").count() == 1
+    assert {stores.literal_bucket(r["url"], 64) for r in read.collect()} == set(touched)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_ngrams_of_known_terms_are_not_written_again(spark, tmp_path):
+    store = stores.IndexStore(spark, str(tmp_path / "index"), buckets=4)
+    store.apply(0, _pages(spark, FIRST), _now(DAYS[0]))
+    store.apply(1, _pages(spark, SECOND), _now(DAYS[1]))
+    added = spark.read.parquet(store._folder("ngrams", 1)).select("term").distinct()
+    assert {r[0] for r in added.collect()} == {"changed", "words", "brand", "new", "9"}
+    assert store.ngrams().count() == store.ngrams().distinct().count()
+    # An empty batch is a batch.
+    store.apply(2, _pages(spark, FIRST).limit(0), _now(DAYS[2]))
+    assert store.documents().count() == 4 and store.batches() == [0, 1, 2]
+
+
 def test_store_reads_only_the_buckets_of_the_terms(spark, tmp_path):
     store = stores.IndexStore(spark, str(tmp_path / "index"), buckets=8)
     store.apply(0, _pages(spark, FIRST), _now(DAYS[0]))
