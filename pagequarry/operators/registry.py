@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.functions.urls import origin_of
 from pagequarry.operators.joins import lookup_join
+from pagequarry.session import pinned
 
 
 def with_site_config(tasks: DataFrame, registry: DataFrame, spread: list[str]) -> DataFrame:
@@ -18,55 +19,50 @@ def with_site_config(tasks: DataFrame, registry: DataFrame, spread: list[str]) -
 def resolve_site(urls: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``config``: the registry row with the lowest ``site_order`` whose base URL starts ``url``.
 
-    Base URLs that contain a whole host are found by an equi-join on scheme and host. For any others
-    there is one equi-join per distinct base-URL length. No URL is paired with every site.
+    Every distinct URL gives its beginnings of the lengths that base URLs have, and these are looked up
+    by equality, whatever the number of sites of a host. No URL is paired with every site.
     """
-    whole_host = F.col("base_url").rlike(r"^[^:/?#]+://[^/?#]*[/?#]")
-    configs = registry.select("base_url", F.struct("site_order", *[
-        c for c in registry.columns if c != "site_order"
-    ]).alias("_config"))
-
-    # A host has as many entries here as someone configured for it.
-    by_host = (
-        configs.where(whole_host)
-        .groupBy(origin_of(F.col("base_url")).alias("_host"))
-        .agg(F.array_sort(F.collect_list("_config")).alias("_configs"))
-    )
-    found = lookup_join(urls.withColumn("_host", origin_of(F.col(url))), by_host, "_host", [url])
-    found = found.withColumn(
-        "config",
-        F.get(F.filter("_configs", lambda c: F.col(url).startswith(c["base_url"])), F.lit(0)),
-    ).drop("_host", "_configs")
-
-    partial = configs.where(~whole_host)
-    lengths = [r[0] for r in partial.select(F.length("base_url")).distinct().collect()]
-    for length in sorted(lengths):
-        same_length = (
-            partial.where(F.length("base_url") == length)
-            .groupBy(F.col("base_url").alias("_start"))
-            .agg(F.min("_config").alias("_other"))
-        )
-        found = lookup_join(
-            found.withColumn("_start", F.substring(url, 1, length)), same_length, "_start", [url]
+    configs = pinned(
+        registry.groupBy(F.col("base_url").alias("_base")).agg(
+            F.min(F.struct("site_order", *[c for c in registry.columns if c != "site_order"])).alias("config")
         )
-        found = found.withColumn(
-            "config", F.least("config", "_other")
-        ).drop("_start", "_other")
-    return found
+    )
+    # One row with at most as many numbers as the longest base URL has characters.
+    lengths = configs.agg(F.collect_set(F.length("_base")).alias("_lengths"))
+    begun = urls.select(F.col(url).alias("_url")).distinct().crossJoin(F.broadcast(lengths)).select(
+        "_url",
+        F.explode(
+            F.transform(
+                F.filter("_lengths", lambda size: size <= F.length("_url")),
+                lambda size: F.substring("_url", F.lit(1), size),
+            )
+        ).alias("_base"),
+    )
+    orders = configs.select("_base", F.col("config.site_order").alias("_order"))
+    first = (
+        lookup_join(begun, orders, "_base", ["_url"], "inner")
+        .groupBy(F.col("_url").alias(url))
+        .agg(F.min_by("_base", F.struct("_order", "_base")).alias("_base"))
+    )
+    spread = [f.name for f in urls.schema.fields if not isinstance(f.dataType, T.MapType)]
+    found = lookup_join(urls, pinned(first), url, spread)
+    return lookup_join(found, configs, "_base", [url]).select(*urls.columns, "config")
 
 
 def path_allowed(path: Column, patterns: Column) -> Column:
-    """True if any of the site's patterns matches the whole path. ``regexp_instr`` keeps the pattern it
-    compiled last, so rows of one site in a row compile a single pattern once."""
-    return F.coalesce(
-        F.exists(
-            patterns,
-            lambda p: F.coalesce(
-                F.regexp_instr(path, F.concat(F.lit(r"\A(?:"), p, F.lit(r")\z"))) > 0, F.lit(False)
-            ),
-        ),
-        F.lit(False),
+    """True if any of the site's patterns matches the whole path.
+
+    The patterns are tried as one: ``regexp_instr`` keeps the pattern it compiled last, so rows of one
+    site in a row compile once. Patterns that number or name their groups are tried one by one.
+    """
+    whole = lambda p: F.regexp_instr(path, F.concat(F.lit(r"\A(?:"), p, F.lit(r")\z"))) > 0
+    given = F.filter(patterns, lambda p: p.isNotNull())
+    together = F.array_join(F.transform(given, lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
+    alone = F.exists(given, lambda p: p.rlike(r"\\[1-9k]|\(\?<[A-Za-z]"))
+    allowed = F.when(alone, F.exists(given, lambda p: F.coalesce(whole(p), F.lit(False)))).otherwise(
+        (F.size(given) > 0) & whole(together)
     )
+    return F.coalesce(allowed, F.lit(False))
 
 
 def blocked(url: Column, blocklist: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import char_ngrams, tokens
 from pagequarry.operators.index_build import token_counts
-from pagequarry.operators.joins import is_small, salted_join
+from pagequarry.operators.joins import is_small, lookup_join, salted_join
 from pagequarry.session import pinned
 
 K1, B = 1.2, 0.75
@@ -185,32 +185,53 @@ def docs_with_none(hits: DataFrame, documents: DataFrame, terms: list[str]) -> D
     return documents.select("doc_id").join(docs_with_any(hits, terms), "doc_id", "left_anti")
 
 
+def _rarest_grams(grams: DataFrame, counts: DataFrame, word: str, threshold: float) -> DataFrame:
+    """(``word``, ngram): of each word's n-grams the rarest, enough that two words as similar as
+    ``threshold`` have one of them in common.
+
+    Of a set of n grams at least threshold * n / (2 - threshold) are in every similar set, so one of them
+    is left when one less than that are put aside: the commonest ones, by the same order for all words.
+    """
+    rated = lookup_join(grams, counts, "ngram", [word])
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), "ngram")))
+    # A word has at most as many n-grams as letters.
+    sets = rated.groupBy(word).agg(by_rarity.alias("_grams"))
+    needed = F.ceil(F.size("_grams") * threshold / (2 - threshold)).cast("int")
+    kept = F.slice("_grams", F.lit(1), F.size("_grams") - F.greatest(needed, F.lit(1)) + 1)
+    return sets.select(word, F.explode(kept).alias("_g")).select(word, "_g.ngram")
+
+
 def similar_terms(
     ngrams: DataFrame, words: DataFrame, k: int, threshold: float = 0.5, n: int = 3
 ) -> DataFrame:
-    """Up to ``k`` index terms per ``query_term`` by Dice similarity of their distinct n-grams.
+    """Up to ``k`` index terms per ``query_term`` by Dice similarity of their distinct n-grams, for few
+    words or many.
 
-    ``ngrams`` are distinct (ngram, term). Set sizes follow from the words themselves, so counting
-    shared n-grams is the only aggregation.
+    ``ngrams`` are distinct (ngram, term). Terms are found through the rarest n-grams of both words only,
+    common n-grams are split over tasks, and a pair is compared in the task that finds it: pairs below the
+    threshold are never shuffled.
     """
-    query = words.select("query_term").distinct().withColumn(
-        "_grams", F.array_distinct(char_ngrams(F.col("query_term"), n))
-    )
-    each = query.select("query_term", F.size("_grams").alias("_n1"), F.explode("_grams").alias("ngram"))
-    sized = ngrams.withColumn("_n2", F.size(F.array_distinct(char_ngrams(F.col("term"), n))))
-    both = F.col("_n1") + F.col("_n2")
-    # Words of too different length cannot reach the threshold, whatever they share.
-    reachable = 2 * F.least("_n1", "_n2") >= (threshold - 10.0**-SCORE_DIGITS) * both
-    shared = (
-        sized.join(F.broadcast(each) if is_small(each) else each, "ngram")
-        .where(reachable)
-        .groupBy("query_term", "_n1", "_n2", "term")
-        .agg(F.count(F.lit(1)).alias("shared"))
+    least = threshold - 10.0**-SCORE_DIGITS
+    query = words.where(F.col("query_term").isNotNull()).select("query_term").distinct()
+    asked = query.select("query_term", F.explode(F.array_distinct(char_ngrams(F.col("query_term"), n))).alias("ngram"))
+    counts = pinned(ngrams.groupBy("ngram").agg(F.count(F.lit(1)).alias("_count")))
+    rare = _rarest_grams(ngrams.select("ngram", "term"), counts, "term", least)
+    sought = pinned(_rarest_grams(asked, counts, "query_term", least))
+    if is_small(sought):
+        pairs = rare.join(F.broadcast(sought), "ngram")
+    else:
+        pairs = salted_join(pinned(rare), sought, "ngram", ["term"])
+    one, two = (F.array_distinct(char_ngrams(F.col(c), n)) for c in ("query_term", "term"))
+    sized = pairs.select("query_term", "term", one.alias("_one"), two.alias("_two")).where(
+        # Words of too different length cannot reach the threshold, whatever they share.
+        2 * F.least(F.size("_one"), F.size("_two")) >= least * (F.size("_one") + F.size("_two"))
     )
-    dice = shared.withColumn("dice", F.round(2 * F.col("shared") / both, SCORE_DIGITS))
+    shared = sized.withColumn("shared", F.size(F.array_intersect("_one", "_two")).cast("long"))
+    dice = F.round(2 * F.col("shared") / (F.size("_one") + F.size("_two")), SCORE_DIGITS)
+    found = shared.select("query_term", "term", "shared", dice.alias("dice")).where(F.col("dice") >= threshold)
     order = Window.partitionBy("query_term").orderBy(F.desc("dice"), "term")
     return (
-        dice.where(F.col("dice") >= threshold)
+        found.distinct()
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_term", "term", "shared", "dice", "rank")

@@ -76,6 +76,12 @@ def fuzzy_terms_topk(spark, folder):
     return search.similar_terms(term_ngrams(spark, folder), words, 5)
 
 
+def fuzzy_batch_topk(spark, folder):
+    """Index terms like each token of the benchmark."""
+    bench = search.query_terms(table(spark, folder, "benchmark"), "item_id", "text")
+    return search.similar_terms(term_ngrams(spark, folder), bench.withColumnRenamed("term", "query_term"), 5)
+
+
 def _ranked(spark, folder, part):
     hits, stats = search.text_hits(_documents(spark, folder), "doc_id", "text", WORDS)
     scored = search.scores(hits, stats, search.literal_query(hits, WORDS), part, small=True)
@@ -140,6 +146,7 @@ QUERIES = {
     "term_ngrams_4": term_ngrams_4,
     "ngram_multiset": ngram_multiset,
     "fuzzy_terms_topk": fuzzy_terms_topk,
+    "fuzzy_batch_topk": fuzzy_batch_topk,
     "bm25_topk": bm25_topk,
     "tfidf_topk": tfidf_topk,
     "bm25_batch_topk": bm25_batch_topk,
@@ -179,6 +186,22 @@ SELECT DISTINCT ngram, term FROM (SELECT unnest({sql_ngrams('term', n)}) AS ngra
 
 _HAS = f"SELECT DISTINCT doc_id FROM post WHERE term IN ({_in(ALL_OF)})"
 
+def _fuzzy_sql(queries: str) -> str:
+    return f"""WITH {SQL_DOCUMENT_TOKENS},
+terms AS (SELECT DISTINCT unnest(tokens) AS term FROM tok),
+tg AS (SELECT DISTINCT unnest({sql_ngrams('term')}) AS ngram, term FROM terms),
+tn AS (SELECT term, count(*) AS n2 FROM tg GROUP BY term),
+q AS ({queries}),
+qg AS (SELECT DISTINCT unnest({sql_ngrams('query_term')}) AS ngram, query_term FROM q),
+qn AS (SELECT query_term, count(*) AS n1 FROM qg GROUP BY query_term),
+s AS (SELECT query_term, term, count(*) AS shared FROM qg JOIN tg USING (ngram) GROUP BY ALL),
+d AS (SELECT query_term, term, shared, round(2.0 * shared / (n1 + n2), 6) AS dice
+      FROM s JOIN qn USING (query_term) JOIN tn USING (term))
+SELECT query_term, term, shared, dice, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_term ORDER BY dice DESC, term) AS rank
+  FROM d WHERE dice >= 0.5) WHERE rank <= 5"""
+
+
 SQL = {
     "tokenise_counts": f"""WITH {SQL_DOCUMENT_TOKENS}
 SELECT doc_id, len(tokens) AS n_tokens, coalesce(array_to_string(tokens, ' '), '') AS tokens FROM tok""",
@@ -191,19 +214,8 @@ SELECT doc_id, len(tokens) AS n_tokens, coalesce(array_to_string(tokens, ' '), '
     "ngram_multiset": f"""WITH {SQL_POSTINGS}
 SELECT ngram, term, count(*) AS copies
 FROM (SELECT unnest({sql_ngrams('term')}) AS ngram, term FROM post) GROUP BY ngram, term""",
-    "fuzzy_terms_topk": f"""WITH {SQL_DOCUMENT_TOKENS},
-terms AS (SELECT DISTINCT unnest(tokens) AS term FROM tok),
-tg AS (SELECT DISTINCT unnest({sql_ngrams('term')}) AS ngram, term FROM terms),
-tn AS (SELECT term, count(*) AS n2 FROM tg GROUP BY term),
-q AS (SELECT unnest([{_in(MISSPELT)}]) AS query_term),
-qg AS (SELECT DISTINCT unnest({sql_ngrams('query_term')}) AS ngram, query_term FROM q),
-qn AS (SELECT query_term, count(*) AS n1 FROM qg GROUP BY query_term),
-s AS (SELECT query_term, term, count(*) AS shared FROM qg JOIN tg USING (ngram) GROUP BY ALL),
-d AS (SELECT query_term, term, shared, round(2.0 * shared / (n1 + n2), 6) AS dice
-      FROM s JOIN qn USING (query_term) JOIN tn USING (term))
-SELECT query_term, term, shared, dice, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_term ORDER BY dice DESC, term) AS rank
-  FROM d WHERE dice >= 0.5) WHERE rank <= 5""",
+    "fuzzy_terms_topk": _fuzzy_sql(f"SELECT unnest([{_in(MISSPELT)}]) AS query_term"),
+    "fuzzy_batch_topk": _fuzzy_sql(f"SELECT DISTINCT unnest({sql_tokens('text')}) AS query_term FROM benchmark"),
     "bm25_topk": _top_sql("bm25"),
     "tfidf_topk": _top_sql("tfidf"),
     "bm25_batch_topk": f"""WITH {SQL_POSTINGS}, {_STATS}, {_DF},

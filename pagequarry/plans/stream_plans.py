@@ -16,6 +16,7 @@ from pagequarry.operators.tasks import decoded
 from pagequarry.plans import frontier_plans, site_plans
 from pagequarry.plans.common import sql_ngrams, table
 from pagequarry.session import shared_folder
+from pagequarry.sources.batches import BatchLog
 from pagequarry.sources.store import COPIED, IndexStore, copy_store, parquet_target
 from pagequarry.sources.tables import stream_table
 from pagequarry.plans import index_plans
@@ -112,6 +113,17 @@ def stream_counters(spark, folder):
     return done.select(F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "metric", "events")
 
 
+def stream_counters_late(spark, folder):
+    """The same counts from events that arrive in no order, most of them long after their window closed."""
+    root = _fresh_folder(spark)
+    events = _timed_events(spark, folder).withColumn("turn", F.pmod(F.xxhash64("event_id"), F.lit(997)))
+    stream, later = _arrivals(spark, root, events, "turn")
+    log = BatchLog(spark, f"{root}/counters", jobs.LATE_FACTS)
+    _drained(root, jobs.counts_with_late(stream, log, LATE, "1 hour"), later)
+    counts = jobs.counts_merged(log)
+    return counts.select(F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "metric", "events")
+
+
 def stream_sessions(spark, folder):
     root = _fresh_folder(spark)
     stream, later = _with_heartbeat(spark, root, _timed_events(spark, folder))
@@ -207,6 +219,7 @@ def store_copy(spark, folder):
 QUERIES = {
     "stream_dedupe": stream_dedupe,
     "stream_counters": stream_counters,
+    "stream_counters_late": stream_counters_late,
     "stream_sessions": stream_sessions,
     "stream_retry": stream_retry,
     "stream_slots": stream_slots,
@@ -226,11 +239,14 @@ f AS (SELECT url, regexp_extract({site_plans._ORIGIN}, '//(.*)', 1) AS source,
   FROM p JOIN s USING (url) WHERE {site_plans._ITEM}),
 d AS (SELECT *, novel_name || ' ' || description || ' ' || slug AS content FROM f)"""
 
+_COUNTERS = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, event_type AS metric,
+  count(*) AS events FROM events GROUP BY ALL"""
+
 SQL = {
     "stream_dedupe": """SELECT DISTINCT event_type AS namespace, strftime(ts, '%Y-%m-%d') AS day,
   user_id::VARCHAR AS url_hash FROM events""",
-    "stream_counters": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, event_type AS metric,
-  count(*) AS events FROM events GROUP BY ALL""",
+    "stream_counters": _COUNTERS,
+    "stream_counters_late": _COUNTERS,
     "stream_sessions": """WITH g AS (SELECT event_type AS site, ts,
     (coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) >= INTERVAL 20 MINUTES, true))::INT AS opens FROM events),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY site ORDER BY ts) AS span FROM g)

@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagequarry.operators import frontier, index_build, tasks
 from pagequarry.operators.ordered import first_rows
 from pagequarry.operators.visited import KEYS
+from pagequarry.sources.batches import BatchLog
 from pagequarry.sources.store import IndexStore
 from pagequarry.streaming.runner import batch_folder, per_batch, write_batch
 
 KEEP = "2 days"
 IDLE = "30 seconds"
 SALTS = 16
+LATE_FACTS = "watermark LONG"
+COUNTS = T.StructType().add("started", "timestamp").add("metric", "string").add("events", "long")
 
 
 def deduplicated(stream: DataFrame, spread: list[str], keys: list[str] | None = None, keep: str = KEEP) -> DataFrame:
@@ -64,23 +68,75 @@ def route_failures(failed: DataFrame, retry_root: str, dead_root: str) -> DataSt
     return per_batch(failed, route)
 
 
-def reserve_slots(requests: DataFrame, slots_root: str, state_root: str) -> DataStreamWriter:
+def reserve_slots(
+    requests: DataFrame,
+    slots_root: str,
+    state_root: str,
+    memory_seconds: int = frontier.SLOT_MEMORY_SECONDS,
+    late_seconds: int = 0,
+) -> DataStreamWriter:
     """Rate slots of a stream of requests; the sites' next free times go from batch to batch in a
-    table. A batch is computed like a whole table, so a busy site is not one task's work."""
+    table. A batch is computed like a whole table, so a busy site is not one task's work.
+
+    A site silent for ``memory_seconds`` leaves the table, as its next request is free anyway; so the
+    table grows with the sites of that time, not with all ever seen. Requests may come up to
+    ``late_seconds`` behind the newest one.
+    """
 
     def reserve(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(batch_folder(state_root, number - 1)) if number else None
-        write_batch(frontier.rate_slots(batch, before), slots_root, number)
+        write_batch(frontier.rate_slots(batch, before, memory_seconds), slots_root, number)
         slots = spark.read.parquet(batch_folder(slots_root, number))
         after = frontier.slot_state(slots)
         if before is not None:
             after = after.unionByName(before.join(after.select("site"), "site", "left_anti"))
+        newest = slots.agg(F.max("now_us")).first()[0]
+        if newest is not None:
+            after = after.where(F.col("last_us") > newest - (memory_seconds + late_seconds) * 1_000_000)
         write_batch(after, state_root, number)
 
     return per_batch(requests, reserve)
 
 
+def counts_with_late(
+    stream: DataFrame, log: BatchLog, late: str, width: str = "1 second"
+) -> DataStreamWriter:
+    """Events per metric and window (``started, metric, events``), none left out.
+
+    A batch adds its own sums, made before the shuffle, to one of two tables of ``log`` (with the facts of
+    :data:`LATE_FACTS`): ``counts`` for windows still open, ``late`` for windows that lay more than
+    ``late`` behind the latest event when the batch began. :func:`counts_merged` adds up both.
+    """
+    behind = F.expr(f"INTERVAL {late}")
+
+    def count(batch: DataFrame, number: int) -> None:
+        earlier = [row["watermark"] for row in log.commits() if row["batch"] < number]
+        bound = max((mark for mark in earlier if mark is not None), default=None)
+        sums = batch.where(F.col("ts").isNotNull()).groupBy(F.window("ts", width), "metric").agg(
+            F.count(F.lit(1)).alias("events"), F.unix_micros(F.max("ts") - behind).alias("mark")
+        )
+        closed = F.lit(False) if bound is None else F.unix_micros("window.end") <= bound
+        rows = sums.select(
+            F.col("window.start").alias("started"), "metric", "events", "mark", closed.alias("late")
+        )
+        held = log.write("sums", number, rows)
+        log.write("counts", number, held.where("NOT late").select(*COUNTS.fieldNames()))
+        log.write("late", number, held.where("late").select(*COUNTS.fieldNames()))
+        marks = [m for m in (bound, held.agg(F.max("mark")).first()[0]) if m is not None]
+        log.commit(number, max(marks, default=None))
+
+    return per_batch(stream, count)
+
+
+def counts_merged(log: BatchLog) -> DataFrame:
+    """Windows of :func:`counts_with_late` with all their events, and how many of them were ``late``."""
+    on_time = log.read("counts", COUNTS).withColumn("late", F.lit(0).cast("long"))
+    late = log.read("late", COUNTS).withColumn("late", F.col("events"))
+    both = on_time.unionByName(late)
+    return both.groupBy("started", "metric").agg(F.sum("events").alias("events"), F.sum("late").alias("late"))
+
+
 def fetch_from(pages: DataFrame, newest: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """Fetching as a join with a table of pages, whatever the size of the batch. Of several pages of a URL
     the one with the largest ``newest`` counts. Pages of other URLs drop out before any HTML moves."""

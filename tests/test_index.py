@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -201,3 +202,27 @@ def test_pruned_batch_search_equals_full(spark):
     plain = search.top_k_per_query(search.scores(hits, stats, terms, small=False), 5)
     assert _sorted(salted.select(columns)) == _sorted(plain.select(columns))
     assert search.batch_scores(hits, stats, terms, 1).count() < search.scores(hits, stats, terms).count()
+
+
+def test_fuzzy_terms_equal_brute_force(spark, monkeypatch):
+    """Words of few letters, so that n-grams are common, as few queries and as many."""
+    random.seed(5)
+    terms = sorted({"".join(random.choices("ab1", k=random.randint(1, 9))) for _ in range(400)})
+    asked = terms[::9] + ["zzzz", "abzab", "", "aaaaaaaaaaaa"]
+
+    def grams(word):
+        return {word} if len(word) < 3 else {word[i : i + 3] for i in range(len(word) - 2)}
+
+    ngrams = spark.createDataFrame([(g, t) for t in terms for g in grams(t)], NGRAMS)
+    words = spark.createDataFrame([(w,) for w in asked + asked[:5]] + [(None,)], "query_term STRING")
+    for threshold in (0.5, 0.8):
+        expected = set()
+        for word in asked:
+            scored = [(round(2 * len(grams(word) & grams(t)) / (len(grams(word)) + len(grams(t))), 6), t) for t in terms]
+            best = sorted(((-d, t) for d, t in scored if d >= threshold))[:5]
+            expected |= {(word, t, -d, rank) for rank, (d, t) in enumerate(best, 1)}
+        for small in (True, False):
+            monkeypatch.setattr(search, "is_small", lambda df: small)
+            got = search.similar_terms(ngrams, words, 5, threshold).select("query_term", "term", "dice", "rank")
+            assert {tuple(r) for r in got.collect()} == expected
+    assert search.similar_terms(ngrams.limit(0), words, 5).count() == 0

@@ -37,6 +37,34 @@ def test_allow_pattern(spark):
     assert [r[0] for r in df.select(sites.path_allowed(F.col("p"), F.col("a"))).collect()] == [True, False, True, False]
 
 
+def test_pattern_sets(spark):
+    three = [r"/n/\d+", r"(?i)/x(a|b)", "/end"]
+    grouped = [r"(a|b)\1", r"(?<n>c)d", "/end"]
+    rows = [("/n/7", three), ("/XB", three), ("/N/7", three), ("/end", three), ("/endless", three),
+            ("aa", grouped), ("ab", grouped), ("cd", grouped), ("/end", grouped), ("", []), ("", [None]), (None, three)]
+    df = spark.createDataFrame(rows, "p STRING, a ARRAY<STRING>").coalesce(1)
+    found = [r[0] for r in df.select(sites.path_allowed(F.col("p"), F.col("a"))).collect()]
+    assert found == [True, True, False, True, False, True, False, True, True, False, False, False]
+
+
+def test_many_sites_of_one_host(spark):
+    """A hundred thousand base URLs on a host, and one that names only the host."""
+    many = spark.range(100_000).select(
+        (F.col("id") + 1).cast("int").alias("site_order"), F.concat(F.lit("https://h/s"), "id", F.lit("/")).alias("base_url")
+    )
+    registry = many.unionByName(spark.createDataFrame([(0, "https://h/s7"), (200_000, "https://h/")], many.schema))
+    urls = ["https://h/s99999/x", "https://h/s12/", "https://h/s12", "https://h/s7777/x", "https://h/", "https://h", None]
+    df = spark.createDataFrame([(u, {"k": "v"}) for u in urls + urls[:2]], "url STRING, headers MAP<STRING, STRING>")
+    rows = sites.resolve_site(df, registry).collect()
+    found = {r["url"]: r["config"] and r["config"]["base_url"] for r in rows}
+    assert len(rows) == 9 and found == {
+        "https://h/s99999/x": "https://h/s99999/", "https://h/s12/": "https://h/s12/", "https://h/s12": "https://h/",
+        "https://h/s7777/x": "https://h/s7", "https://h/": "https://h/", "https://h": None, None: None,
+    }
+    none = sites.resolve_site(df, registry.limit(0)).collect()
+    assert len(none) == 9 and all(r["config"] is None for r in none)
+
+
 def test_first_matching_prefix(spark):
     registry = _registry(
         spark,
