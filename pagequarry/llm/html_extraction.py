@@ -5,7 +5,10 @@ whose article is marked up. A word's place is the chain of elements it stands in
 name; weights are log odds of standing inside against outside the article. One linear scan finds the
 contiguous run with the highest sum, the content region. Elements that are never part of an article
 (menus, forms, scripts and the like, by name or by the words of their class, id or role) are taken out
-of the region.
+of the region. Inside an article only a class that says nothing else counts ("widget", "share-buttons",
+not "elementor-widget-container"); on a page without an article no element that holds most of the words
+is taken out by its class, unless it is reader comments. The time grows with the page, whatever is left
+open or ended in it.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ SAMPLE = 2_000
 NEW_WORD, NEW_TAG, NOISE_WORD, NOISE_TAG, OUTSIDE = 0.5, -0.25, -0.5, -2.0, -0.5
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object".split())
 NEVER = frozenset(
-    "nav header footer aside form script style noscript template svg math iframe object button select "
+    "nav header footer aside form script style noscript template svg iframe object button select "
     "option textarea input label dialog menu head title figcaption audio video canvas".split()
 )
 BLOCK = frozenset(
@@ -57,6 +60,12 @@ NOISE = frozenset(
     "respond reply replies disqus discussion widget toolbar pagination pager search complementary "
     "contentinfo form skip".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: Words that may stand beside those without saying that there is content.
+FURNITURE = frozenset(
+    "area bar block box button buttons container group holder icon icons inner item items link links list "
+    "module panel post posts row section slot thread title unit wrap wrapper".split()
+)
 CONTENT = frozenset("article main content post entry story text body".split())
 #: Words that make a class token the name of a layout: one of these anywhere, or last.
 LACKING = frozenset("has have no non not with without hide".split())
@@ -72,9 +81,10 @@ PARTS = re.compile(r"[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-def marks(rest: str) -> frozenset[str]:
+def marks(rest: str, inside: bool = False) -> frozenset[str]:
     """Lower-case words of the class, id and role of a tag. Of a token that names a layout ("has-sidebar",
-    "search-page") or the header of content ("entry-header") no word counts that marks noise."""
+    "search-page") or the header of content ("entry-header") no word counts that marks noise; nor, inside
+    an article, of one with any word that neither marks noise nor is :data:`FURNITURE`."""
     if "=" not in rest:
         return frozenset()
     out: set[str] = set()
@@ -83,7 +93,8 @@ def marks(rest: str) -> frozenset[str]:
             words = PARTS.findall(token)
             layout = words and words[-1] in LAYOUT or not LACKING.isdisjoint(words)
             titled = words and words[-1] == "header" and not CONTENT.isdisjoint(words)
-            out.update(set(words) - NOISE if layout or titled else words)
+            mixed = inside and not NOISE.union(FURNITURE).issuperset(words)
+            out.update(set(words) - NOISE if layout or titled or mixed else words)
     return frozenset(out)
 
 
@@ -99,45 +110,65 @@ def noisy(name: str, words: frozenset[str], inside: bool) -> bool:
 
 class Run:
     """Words or a tag at one place: ``kind`` is its place for the weights, ``words`` how many, ``text``
-    the decoded text (None for a tag), ``block`` whether a block begins here."""
+    the decoded text (None for a tag), ``block`` whether a block begins here, ``never`` whether it stands
+    in an element that is noise by its name."""
 
-    __slots__ = ("block", "inside", "kind", "noise", "text", "words")
+    __slots__ = ("block", "inside", "kind", "never", "noise", "text", "words")
 
-    def __init__(self, kind: str, text: str | None, block: bool, noise: bool, inside: bool):
+    def __init__(self, kind: str, text: str | None, block: bool, noise: bool, inside: bool, never: bool = False):
         self.kind, self.text, self.block, self.noise, self.inside = kind, text, block, noise, inside
+        self.never = never
         self.words = len(text.split()) if text else 0
 
 
 def runs(page: str) -> list[Run]:
     """The page as runs, in order. Where every article stands in elements that are noise by their class,
-    these enclose the content, and those around the longest article are no noise."""
-    articles: list[tuple[list[int], list[int]]] = []
-    out = parsed(page, frozenset(), articles)
-    if not articles or any(not around for _, around in articles):
+    these enclose the content, and those around the longest article are no noise. Without an article,
+    those are none that hold more than half of the words."""
+    articles: list[tuple[list[int], tuple | None]] = []
+    taken: list[list] = []
+    out = parsed(page, frozenset(), articles, taken)
+    if any(around is None for _, around in articles):
         return out
-    size = lambda a: sum(r.words for r in out[a[0][0] : a[0][1]])
-    return parsed(page, frozenset(max(articles, key=size)[1]), [])
-
-
-def parsed(page: str, spared: frozenset[int], articles: list) -> list[Run]:
+    before = [0]
+    for r in out:
+        before.append(before[-1] + (0 if r.never else r.words))
+    spared: set[int] = set()
+    if articles:
+        _, around = max(articles, key=lambda a: before[a[0][1]] - before[a[0][0]])
+        while around:
+            spared.add(around[0])
+            around = around[1]
+    else:
+        spared.update(first for first, last, said in taken if not said and 2 * (before[last] - before[first]) > before[-1])
+    return parsed(page, frozenset(spared), [], []) if spared else out
+
+
+def parsed(page: str, spared: frozenset[int], articles: list, taken: list) -> list[Run]:
     """Runs of the page; elements whose first run is in ``spared`` are no noise by class. Adds (first and
-    last run, noise elements around) of every article that is not noise of itself."""
+    last run, noise elements around) of every article that is not noise of itself, and (first run, last
+    run, whether it is comments) of every element that is noise by its class."""
     out: list[Run] = []
-    marked: list[int] = []  # first run of the open elements that are noise by class
-    opened: list[tuple[int, int, bool]] = []  # of every open element: its first run, place in articles, marked
-    stack: list[tuple[str, bool, bool]] = []  # name, noisy (or inside noise), inside an article
-    raw = ""
+    marked: tuple | None = None  # (first run, the one around) of the open elements that are noise by class
+    # Of every open element: first run, place in articles and in taken (or -1).
+    opened: list[tuple[int, int, int]] = []
+    # Name, noisy (or inside noise), inside an article, in an element that is noise by its name.
+    stack: list[tuple[str, bool, bool, bool]] = []
+    count: dict[str, int] = {}  # open elements by name
     at, end = 0, len(page)
 
     def close(depth: int) -> None:
-        for (name, noise, inside), (_, which, own) in zip(reversed(stack[depth:]), reversed(opened[depth:]), strict=True):
+        nonlocal marked
+        while len(stack) > depth:
+            name, noise, inside, never = stack.pop()
+            _, which, own = opened.pop()
+            count[name] -= 1
             if which >= 0:
                 articles[which][0][1] = len(out)
-            if own:
-                marked.pop()
-            out.append(Run("/" + name, None, name in BLOCK, noise, inside))
-        del stack[depth:]
-        del opened[depth:]
+            if own >= 0:
+                taken[own][1] = len(out)
+                marked = marked[1]
+            out.append(Run("/" + name, None, name in BLOCK, noise, inside, never))
 
     while at < end:
         m = TOKEN.match(page, at)
@@ -147,47 +178,52 @@ def parsed(page: str, spared: frozenset[int], articles: list) -> list[Run]:
             piece = m[0]
             if m["cut"] or piece.startswith(("<!", "<?")):
                 continue
-            noise, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            place = stack[-1][0] if stack else ""
-            out.append(Run("w " + ("noise" if noise else place), html.unescape(piece), False, noise, inside))
+            place, noise, inside, never = stack[-1] if stack else ("", False, False, False)
+            out.append(Run("w " + ("noise" if noise else place), html.unescape(piece), False, noise, inside, never))
             continue
         name = name.lower()
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                close(depth)
+            if count.get(name):
+                # All that is walked over is closed.
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             elif name in BLOCK:
-                out.append(Run("/" + name, None, True, bool(stack and stack[-1][1]), bool(stack and stack[-1][2])))
+                _, noise, inside, never = stack[-1] if stack else ("", False, False, False)
+                out.append(Run("/" + name, None, True, noise, inside, never))
             continue
         while stack and name in CLOSES.get(stack[-1][0], ()):
             close(len(stack) - 1)
-        if name in BLOCK:  # a block ends an open paragraph, also through inline elements
+        if name in BLOCK and count.get("p"):  # a block ends an open paragraph, also through inline elements
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     close(k)
                     break
                 if stack[k][0] in BLOCK:
                     break
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ("", False, False, False)
         inside = above[2] or name in ("article", "main")
-        own = noisy(name, marks(m["rest"]), above[2])
+        words = marks(m["rest"], above[2])
+        own = noisy(name, words, above[2])
         by_class = own and (name == "form" or name not in NEVER)
-        own = own and not (by_class and len(out) in spared)
-        noise = above[1] or own
         here = len(out)
-        out.append(Run(name if not noise else "noise " + name, None, name in BLOCK, noise, inside))
+        own = own and not (by_class and here in spared)
+        noise = above[1] or own
+        never = above[3] or (noise and name in NEVER and name != "form")
+        out.append(Run(name if not noise else "noise " + name, None, name in BLOCK, noise, inside, never))
         if name == "br":
-            out.append(Run("w " + above[0], " ", False, noise, inside))
+            out.append(Run("w " + above[0], " ", False, noise, inside, never))
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
-        which = -1
-        if name in ("article", "main") and not own and not any(x[0] in NEVER and x[0] != "form" and x[1] for x in stack):
+        which = place = -1
+        if name in ("article", "main") and not own and not above[3]:
             which = len(articles)
-            articles.append(([here, here], list(marked)))
+            articles.append(([here, here], marked))
         if own and by_class:
-            marked.append(here)
-        stack.append((name, noise, inside))
-        opened.append((here, which, own and by_class))
+            place = len(taken)
+            taken.append([here, here, not words.isdisjoint(COMMENTS)])
+            marked = (here, marked)
+        stack.append((name, noise, inside, never))
+        opened.append((here, which, place))
+        count[name] = count.get(name, 0) + 1
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = stop.start() if stop else end
@@ -255,7 +291,8 @@ def counted(page: str | None) -> dict[str, list[int]]:
 
 def train(pages: DataFrame, page_id: str, page: str) -> dict[str, float]:
     """Weight of each place, from about ``SAMPLE`` pages with an article element: log odds of standing
-    inside it, at most 2 either way, for words raised so that text in a usual place is positive."""
+    inside it, at most 2 either way, for words raised so that text in a usual place is positive. There are
+    as many places as element names in these pages."""
     labelled = pages.where(F.lower(F.col(page)).contains("<article"))
     total = labelled.count()
     share = int((1 << 20) * min(1.0, SAMPLE / max(1, total)))
@@ -282,8 +319,6 @@ def train(pages: DataFrame, page_id: str, page: str) -> dict[str, float]:
         .mapInArrow(count, "kind string, a long, b long")
         .groupBy("kind")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .orderBy(F.desc(F.col("a") + F.col("b")), "kind")
-        .limit(1_000)
         .collect()
     )
     weights = {}
@@ -311,7 +346,10 @@ def extract(
 ) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every row of ``pages``.
 
-    Null, empty and contentless pages give an empty text; repeated rows are answered each.
+    Null, empty and contentless pages give an empty text; repeated rows are answered each, also with a null
+    id. Pages of any length are read whole, in time that grows with them. Of equal regions the first and
+    longest counts. Other columns of ``pages``, whatever their names, are not looked at. An empty table
+    gives no rows.
     """
     d = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")

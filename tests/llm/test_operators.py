@@ -565,6 +565,47 @@ def test_wrappers_of_articles_are_no_noise():
         assert html_extraction.main_text(page, weights) == "Title\n\nSome words of text.", wrap
 
 
+def test_noise_words_among_others():
+    """Names of layouts and page builders take nothing out; names of what is beside the article do."""
+    weights = dict.fromkeys(("div", "/div", "p", "/p", "h1", "/h1", "article", "/article"), -0.05)
+    text = "Some words of text that go on for a while."
+    whole = {
+        f"<article><div class='elementor-widget-container'><p>{text}</p></div></article>",
+        f"<article class='post-body social-sharing-enabled'><p>{text}</p></article>",
+        f"<article><p class='form-text'>{text}</p><div class='share-buttons'>Share</div><ol class='comment-list'><li>No</ol></article>",
+        f"<div id='wrapper' class='sidebar-right'><p>{text}</p><div class='sidebar'>Other</div><nav>{text * 9}</nav></div>",
+        f"<div class='widget'><div class='banner-wide'><p>{text}</p></div></div>",
+        f"<div><p>{text}</p></div><div class='comments'><p>{'First! ' * 40}</p></div>",
+    }
+    for page in whole:
+        assert html_extraction.main_text(f"<body>{page}</body>", weights) == text, page
+    formula = f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>"
+    assert html_extraction.main_text(formula, weights) == text + " x=2"
+
+
+def test_pages_left_open_take_linear_time():
+    import time
+
+    n = 50_000
+    pages = ["<b>" * n + "</i>" * n, "<b>" * n + "<hr>" * n, "<article>" * n, "<div class=ad>" * n + "<article>" * n,
+             "<p><b>" * n + "<div>" * n, "<section class=ad>" * n + "words " * n]
+    for page in pages:
+        began = time.process_time()
+        html_extraction.main_text(page, {})
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_pages_with_awkward_rows(spark):
+    """Nulls in every column, repeated rows, an empty table and columns of other names."""
+    html = "<article><p>One two three four.</p></article>"
+    rows = [(1, None, html, "a"), (None, "u", html, None), (1, None, html, "a"), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extraction.extract(pages.selectExpr("*", "'w p' AS kind", "'x' AS n_chars"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    expected = [(None, None, "", 0), (None, "u", "One two three four.", 19)] + [(1, None, "One two three four.", 19)] * 2
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
