@@ -74,6 +74,12 @@ def postings(texts: DataFrame, key: str = "doc_id", text: str = "content") -> Da
     return each.where(F.col("_t").isNotNull()).select("_t.term", key, "_t.frequency", "doc_length")
 
 
+def distinct_terms(texts: DataFrame, text: str = "content") -> DataFrame:
+    """``term``, each once; nothing is counted inside the texts."""
+    each = texts.select(F.explode_outer(tokens(F.col(text))).alias("term"))
+    return each.where(F.col("term").isNotNull()).distinct()
+
+
 def vocabulary(terms: DataFrame) -> DataFrame:
     """Distinct terms with their document frequency (combined before the shuffle)."""
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

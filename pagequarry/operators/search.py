@@ -185,20 +185,38 @@ def docs_with_none(hits: DataFrame, documents: DataFrame, terms: list[str]) -> D
     return documents.select("doc_id").join(docs_with_any(hits, terms), "doc_id", "left_anti")
 
 
+def _bits(grams: str) -> Column:
+    """64 bits, one set for each n-gram: of a word's bits those another word lacks are as many n-grams, or
+    more, that it lacks."""
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.crc32(g.cast("binary")), F.lit(64)).cast("int"))
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda bits, g: bits.bitwiseOR(bit(g)))
+
+
 def _rarest_grams(grams: DataFrame, counts: DataFrame, word: str, threshold: float) -> DataFrame:
-    """(``word``, ngram): of each word's n-grams the rarest, enough that two words as similar as
-    ``threshold`` have one of them in common.
+    """(``word``, ngram, ``<word>_at``, ``<word>_n``, ``<word>_bits``): of each word's n-grams the rarest,
+    enough that two words as similar as ``threshold`` have one of them in common; its place by rarity, the
+    number of the word's n-grams and their :func:`_bits`.
 
     Of a set of n grams at least threshold * n / (2 - threshold) are in every similar set, so one of them
     is left when one less than that are put aside: the commonest ones, by the same order for all words.
     """
     rated = lookup_join(grams, counts, "ngram", [word])
-    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), "ngram")))
+    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), "ngram")))
     # A word has at most as many n-grams as letters.
-    sets = rated.groupBy(word).agg(by_rarity.alias("_grams"))
-    needed = F.ceil(F.size("_grams") * threshold / (2 - threshold)).cast("int")
-    kept = F.slice("_grams", F.lit(1), F.size("_grams") - F.greatest(needed, F.lit(1)) + 1)
-    return sets.select(word, F.explode(kept).alias("_g")).select(word, "_g.ngram")
+    sets = rated.groupBy(word).agg(by_rarity["ngram"].alias("_grams"))
+    size = F.size("_grams")
+    needed = F.ceil(size * threshold / (2 - threshold)).cast("int")
+    kept = F.slice("_grams", F.lit(1), size - F.greatest(needed, F.lit(1)) + 1)
+    # Two steps: beside the generator the bits would be computed for each of its rows.
+    sized = sets.select(word, size.alias(f"{word}_n"), _bits("_grams").alias(f"{word}_bits"), kept.alias("_kept"))
+    return sized.select(word, f"{word}_n", f"{word}_bits", F.posexplode("_kept").alias(f"{word}_at", "ngram"))
+
+
+def _most_shared(word: str, other: str) -> Column:
+    """A bound on the n-grams in common, seen from ``word``: those it has from the found one on (exact for
+    the rarest in common), and those whose bit the other has."""
+    lacking = F.bit_count(F.col(f"{word}_bits").bitwiseAND(F.bitwise_not(f"{other}_bits")))
+    return F.col(f"{word}_n") - F.greatest(F.col(f"{word}_at"), lacking)
 
 
 def similar_terms(
@@ -207,9 +225,10 @@ def similar_terms(
     """Up to ``k`` index terms per ``query_term`` by Dice similarity of their distinct n-grams, for few
     words or many.
 
-    ``ngrams`` are distinct (ngram, term). Terms are found through the rarest n-grams of both words only,
-    common n-grams are split over tasks, and a pair is compared in the task that finds it: pairs below the
-    threshold are never shuffled.
+    ``ngrams`` are distinct (ngram, term), read twice. Terms are found through the rarest n-grams of both
+    words only, common n-grams are split over tasks, and a pair is compared in the task that finds it:
+    pairs below the threshold are never shuffled. A find is compared only where :func:`_most_shared`
+    leaves enough n-grams; for a similar pair the find by its rarest n-gram in common does.
     """
     least = threshold - 10.0**-SCORE_DIGITS
     query = words.where(F.col("query_term").isNotNull()).select("query_term").distinct()
@@ -221,13 +240,15 @@ def similar_terms(
         pairs = rare.join(F.broadcast(sought), "ngram")
     else:
         pairs = salted_join(pinned(rare), sought, "ngram", ["term"])
-    one, two = (F.array_distinct(char_ngrams(F.col(c), n)) for c in ("query_term", "term"))
-    sized = pairs.select("query_term", "term", one.alias("_one"), two.alias("_two")).where(
-        # Words of too different length cannot reach the threshold, whatever they share.
-        2 * F.least(F.size("_one"), F.size("_two")) >= least * (F.size("_one") + F.size("_two"))
+    total = F.col("query_term_n") + F.col("term_n")
+    most = F.least(_most_shared("query_term", "term"), _most_shared("term", "query_term"))
+    one, two = (char_ngrams(F.col(c), n) for c in ("query_term", "term"))
+    # explode keeps the comparison out of the join's condition, which would then not be compiled.
+    count = F.size(F.array_intersect(one, two)).cast("long")
+    shared = pairs.where(2 * most >= least * total).select(
+        "query_term", "term", total.alias("_total"), F.explode(F.array(count)).alias("shared")
     )
-    shared = sized.withColumn("shared", F.size(F.array_intersect("_one", "_two")).cast("long"))
-    dice = F.round(2 * F.col("shared") / (F.size("_one") + F.size("_two")), SCORE_DIGITS)
+    dice = F.round(2 * F.col("shared") / F.col("_total"), SCORE_DIGITS)
     found = shared.select("query_term", "term", "shared", dice.alias("dice")).where(F.col("dice") >= threshold)
     order = Window.partitionBy("query_term").orderBy(F.desc("dice"), "term")
     return (

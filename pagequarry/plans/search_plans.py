@@ -16,6 +16,7 @@ from pagequarry.plans.common import (
     table,
     texts,
 )
+from pagequarry.session import pinned
 
 WORDS = ["the", "of", "tion", "wh", "eau"]
 MISSPELT = ["ththed", "whch", "erion", "entwh", "leau"]
@@ -59,27 +60,36 @@ def document_frequencies(spark, folder):
     return index_build.vocabulary(_hits(spark, folder))
 
 
+def _terms(spark, folder):
+    return index_build.distinct_terms(_documents(spark, folder), "text")
+
+
 def term_ngrams(spark, folder):
-    return index_build.term_ngrams(_hits(spark, folder))
+    return index_build.term_ngrams(_terms(spark, folder))
 
 
 def term_ngrams_4(spark, folder):
-    return index_build.term_ngrams(_hits(spark, folder), n=4)
+    return index_build.term_ngrams(_terms(spark, folder), n=4)
 
 
 def ngram_multiset(spark, folder):
     return index_build.ngram_multiset(_hits(spark, folder))
 
 
+def _fuzzy(spark, folder, words):
+    # The n-grams are read twice: the texts are read for their terms once.
+    return search.similar_terms(index_build.term_ngrams(pinned(_terms(spark, folder))), words, 5)
+
+
 def fuzzy_terms_topk(spark, folder):
     words = spark.createDataFrame([(w,) for w in MISSPELT], "query_term STRING")
-    return search.similar_terms(term_ngrams(spark, folder), words, 5)
+    return _fuzzy(spark, folder, words)
 
 
 def fuzzy_batch_topk(spark, folder):
     """Index terms like each token of the benchmark."""
     bench = search.query_terms(table(spark, folder, "benchmark"), "item_id", "text")
-    return search.similar_terms(term_ngrams(spark, folder), bench.withColumnRenamed("term", "query_term"), 5)
+    return _fuzzy(spark, folder, bench.withColumnRenamed("term", "query_term"))
 
 
 def _ranked(spark, folder, part):

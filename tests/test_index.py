@@ -226,3 +226,28 @@ def test_fuzzy_terms_equal_brute_force(spark, monkeypatch):
             got = search.similar_terms(ngrams, words, 5, threshold).select("query_term", "term", "dice", "rank")
             assert {tuple(r) for r in got.collect()} == expected
     assert search.similar_terms(ngrams.limit(0), words, 5).count() == 0
+
+
+def test_fuzzy_batch_reads_texts_once_and_compares_few_pairs(spark):
+    words = [f"{a}ab{b}cd{c}" for a in "pqrst" for b in "uvwxy" for c in "klmno"]
+    ngrams = index_build.term_ngrams(spark.createDataFrame([(w,) for w in words], "term STRING"))
+    query = spark.createDataFrame([(w[::-1],) for w in words] + [(w[1:],) for w in words], "query_term STRING")
+    found = search.similar_terms(ngrams, query, 3)
+    dice = {}
+    for one in {w[::-1] for w in words} | {w[1:] for w in words}:
+        for two in words:
+            a, b = ({w[i : i + 3] for i in range(len(w) - 2)} for w in (one, two))
+            dice.setdefault(one, []).append((-round(2 * len(a & b) / (len(a) + len(b)), 6), two))
+    expected = {(q, t, -d) for q, of in dice.items() for d, t in sorted(of)[:3] if d <= -0.5}
+    assert {(r["query_term"], r["term"], r["dice"]) for r in found.collect()} == expected and expected
+    # Lambda functions in the join's condition would have it interpreted, pair by pair.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any("lambda" in line for line in joins)
+
+
+def test_distinct_terms_equal_the_terms_of_postings(spark):
+    texts = spark.createDataFrame([(1, "One two two foo_bar"), (2, ""), (3, None), (4, "two caf\u00e9 3")], "doc_id LONG, content STRING")
+    terms = sorted(r["term"] for r in index_build.distinct_terms(texts).collect())
+    assert terms == ["3", "one", "two"]
+    assert terms == sorted(r["term"] for r in index_build.postings(texts).select("term").distinct().collect())
