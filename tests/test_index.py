@@ -251,3 +251,17 @@ def test_distinct_terms_equal_the_terms_of_postings(spark):
     terms = sorted(r["term"] for r in index_build.distinct_terms(texts).collect())
     assert terms == ["3", "one", "two"]
     assert terms == sorted(r["term"] for r in index_build.postings(texts).select("term").distinct().collect())
+
+
+def test_batch_scores_keep_only_documents_that_can_be_among_the_best(spark):
+    rows = [("some", d, 1 + d % 2, 4) for d in range(20)] + [(t, d, 1, 4) for t in ("rare", "seldom") for d in (1, 2, 3)]
+    rows += [("often", d, 1 + d % 3, 4) for d in range(300)]
+    hits = spark.createDataFrame(rows, "term STRING, doc_id LONG, frequency LONG, doc_length LONG")
+    stats = spark.createDataFrame([(400, 4.0)], "n_docs LONG, avg_length DOUBLE")
+    asked = [(0, t) for t in ("some", "rare", "seldom", "often")] + [(1, "some"), (1, "often"), (2, "rare"), (3, "none")]
+    queries = spark.createDataFrame(asked, "query_id INT, term STRING")
+    for small in (True, False):
+        some = search.batch_scores(hits, stats, queries, 3, small)
+        whole = search.scores(hits, stats, queries, small=True)
+        assert _sorted(search.top_k_per_query(some, 3)) == _sorted(search.top_k_per_query(whole, 3))
+        assert some.where("query_id = 0").count() == 3
