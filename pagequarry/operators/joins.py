@@ -59,7 +59,8 @@ def salted_join(
 ) -> DataFrame:
     """A shuffle join in which every key with more facts than a task takes is split by a hash of the
     ``spread`` columns, over as many tasks as its count asks for; only the lookup rows of such keys are
-    copied once per salt. The facts are read once more, keys only, to count them."""
+    copied once per salt. Facts without a key find nothing: a left join keeps them, dealt by ``spread``.
+    The facts are read once more, keys only, to count them."""
     counts = pinned(facts.where(F.col(key).isNotNull()).groupBy(key).count())
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     most = max(task_rows, -(-total // SHARE))
@@ -67,8 +68,10 @@ def salted_join(
     hot = counts.where(F.col("count") > most).select(
         key, F.ceil(F.col("count") / most).cast("long").alias("_salts")
     )
+    dealt = F.xxhash64(*spread)
     salted = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0).cast("long"))
+        "_salt",
+        F.when(F.col(key).isNull(), dealt).otherwise(F.coalesce(F.pmod(dealt, F.col("_salts")), F.lit(0).cast("long"))),
     )
     copies = lookup.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))

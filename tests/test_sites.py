@@ -167,3 +167,18 @@ def test_robots_status(spark):
     urls = spark.createDataFrame([(d + "/x",) for d, _ in rows] + [("https://unknown/x",)], "url STRING")
     got = robots.with_robots(urls, robots.agent_rules(table, AGENT)).orderBy("url").collect()
     assert [r["can_fetch"] for r in got] == [False, False, True, True, True, False, True]
+
+
+def test_facts_without_a_key_are_no_single_tasks_work(spark):
+    facts = spark.range(1000).select("id", F.when(F.col("id") < 10, F.col("id")).alias("site"))
+    lookup = spark.createDataFrame([(1, "one"), (2, "two")], "site LONG, name STRING")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.lookup_join(facts, lookup, "site", ["id"], max_rows=0)
+        assert sorted((r["id"], r["name"]) for r in joined.collect()) == [
+            (i, {1: "one", 2: "two"}.get(i)) for i in range(1000)
+        ]
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in tasks) < 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
