@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pagequarry.operators import frontier, index_build, tasks
 from pagequarry.operators.ordered import first_rows
 from pagequarry.operators.visited import KEYS
+from pagequarry.session import pinned
 from pagequarry.sources.batches import BatchLog
 from pagequarry.sources.store import IndexStore
 from pagequarry.streaming.runner import batch_folder, per_batch, write_batch
@@ -164,7 +165,9 @@ def index_submissions(
 
     def index(batch: DataFrame, number: int) -> None:
         decoded = tasks.decode_submissions(batch, registry).where("outcome = 'task'")
-        wanted = decoded.groupBy("url", "site").agg(F.max("seq").alias("fetch_seq"))
+        # Read several times below; once written its size is known, so that few URLs are broadcast and no
+        # HTML moves to find their pages.
+        wanted = pinned(decoded.groupBy("url", "site").agg(F.max("seq").alias("fetch_seq")))
         items = index_build.parsed_pages(index_build.item_pages(fetch(wanted), registry))
         store.apply(number, items, now(number))
 
