@@ -15,7 +15,7 @@ from pagequarry.functions.urls import slug_of
 from pagequarry.operators.tasks import decoded
 from pagequarry.plans import frontier_plans, site_plans
 from pagequarry.plans.common import sql_ngrams, table
-from pagequarry.session import shared_folder
+from pagequarry.session import pinned, shared_folder
 from pagequarry.sources.batches import BatchLog
 from pagequarry.sources.store import COPIED, IndexStore, copy_store, parquet_target
 from pagequarry.sources.tables import stream_table
@@ -205,10 +205,11 @@ def store_compact(spark, folder):
 def store_copy(spark, folder):
     """Documents as they arrive in a copied store."""
     write, read_back = parquet_target(spark, _fresh_folder(spark))
-    postings = index_plans.stored_postings(spark, folder)
-    tables = dict(
-        zip(COPIED, (index_plans.stored_documents(spark, folder), postings, index_plans.index_build.term_ngrams(postings)))
-    )
+    # A copied table is read for its rows and for their number: both come from storage, as in a store, and
+    # the texts are cut into terms once.
+    postings = pinned(index_plans.stored_postings(spark, folder))
+    ngrams = pinned(index_plans.index_build.term_ngrams(postings))
+    tables = dict(zip(COPIED, (index_plans.stored_documents(spark, folder), postings, ngrams)))
     counts = copy_store(tables, write, read_back)
     rows = read_back("documents").withColumn("last_crawled_at", F.date_format("last_crawled_at", "yyyy-MM-dd"))
     return rows.withColumns(

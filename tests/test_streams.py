@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators import frontier
+from pagequarry.plans import stream_plans
 from pagequarry.sources.batches import BatchLog
 from pagequarry.streaming import jobs
 from pagequarry.streaming.runner import drain, read_batches
@@ -56,3 +58,14 @@ def test_late_events_are_counted_aside(spark, tmp_path):
     # A batch that never committed does not count.
     log.write("counts", 9, spark.createDataFrame([(START, "ghost", 1)], jobs.COUNTS))
     assert jobs.counts_merged(log).where(F.col("metric") == "ghost").count() == 0
+
+
+def test_copied_terms_are_read_from_storage(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(stream_plans, "copy_store", lambda tables, write, read_back: seen.update(tables) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        stream_plans.store_copy(spark, "/root/testdata/sf0.001")
+    for name in ("inverted_index", "term_ngrams"):
+        # Else the texts are cut into terms for the rows and again for their number.
+        assert "regexp_extract_all" not in seen[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert seen[name].count() > 0
